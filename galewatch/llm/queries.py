@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from galewatch.llm import mixing, pii, secret_scan
+from galewatch.llm import line_dedup, mixing, packing, pii, quality, secret_scan, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_packing": packing.op3_packing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_pii": pii.op8_pii,
+    "op9_quality": quality.op9_quality,
     "op10_secrets": secret_scan.op10_secrets,
 }
-ORACLES = {"op2_mixing": mixing.ORACLE}
+ORACLES = {
+    "op2_mixing": mixing.ORACLE,
+    "op3_packing": packing.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op7_url_filter": url_filter.ORACLE,
+}
