@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from galewatch.llm import line_dedup, mixing, packing, pii, quality, secret_scan, url_filter
+from galewatch.llm import line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, url_filter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
