@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from galewatch.llm import line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, url_filter
+from galewatch.llm import line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, url_filter, vector_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
+    "op4_vector_dedup": vector_dedup.op4_vector_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_pii": pii.op8_pii,
