@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galewatch.llm import line_dedup, mixing, ngram_join, packing, pii, quality, secret_scan, url_filter, vector_dedup
+from galewatch.llm import line_dedup, mixing, ngram_join, packing, pii, quality, repeat_removal, secret_scan, url_filter, vector_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_vector_dedup": vector_dedup.op4_vector_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_repeat_removal": repeat_removal.op6_repeat_removal,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
