@@ -60,12 +60,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     rows = stored(running_total(rows, ["ord"], "bucket", [F.col("key"), F.col("doc_id"), F.col("size"), F.col("text_hash")], "size", "cum"), "mix_order")
     # In a source, equal positions differ at most in empty documents, which take nothing either way.
     finish = lambda e: (e * F.col("source_size") + F.col("cum")) / F.col("target")
-    copies = rows.where((F.col("size") > 0) & (F.col("target") > 0)).select("ord", "size", "budget", F.explode(F.array(*[finish(F.lit(e)) for e in range(epochs)])).alias("finish"))
-    copies = copies.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(4.0)) * buckets).cast("int")).withColumn("_all", F.lit(0))
-    last = running_total(copies, ["_all"], "slot", [F.col("finish"), F.col("ord")], "size", "total").where(F.col("total") <= F.col("budget")).agg(F.max(F.struct("finish", "ord")).alias("last")).first()["last"]
-    stop = F.struct(F.lit(last["finish"] if last else -1.0).alias("finish"), F.lit(last["ord"] if last else 0).cast("int").alias("ord"))
-    taken = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & (F.struct(finish(F.lit(e)).alias("finish"), F.col("ord").cast("int").alias("ord")) <= stop), 1).otherwise(0) for e in range(epochs)), F.lit(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("int").alias("epochs_taken"), (taken * F.col("size")).cast("long").alias("taken"), F.when(F.col("target") > 0, finish(F.lit(0))).alias("finish"), "text_hash")
+    copies = rows.where((F.col("size") > 0) & (F.col("target") > 0)).select("ord", "size", F.explode(F.array(*[finish(F.lit(e)) for e in range(epochs)])).alias("finish"))
+    slot = lambda f: F.floor(F.least(f, F.lit(4.0)) * buckets).cast("int")
+    # Sums by slot of virtual time tell in which slot the budget ends; only that slot's copies have to be put in order.
+    budget = plan.agg(F.max("budget")).first()[0] or 0
+    sums = copies.groupBy(slot(F.col("finish")).alias("slot")).agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("slot")))
+    cut = sums.where(F.col("upto") > budget).agg(F.min(F.struct("slot", (F.col("upto") - F.col("n")).alias("before"))).alias("cut")).first()["cut"]
+    if cut is None:
+        taken = lambda f: F.lit(True)
+    else:
+        inside = Window.orderBy("finish", "ord").rowsBetween(Window.unboundedPreceding, 0)
+        last = copies.where(slot(F.col("finish")) == cut["slot"]).withColumn("total", F.sum("size").over(inside) + cut["before"])
+        last = last.where(F.col("total") <= budget).agg(F.max(F.struct("finish", "ord")).alias("last")).first()["last"]
+        stop = F.struct(F.lit(last["finish"] if last else -1.0).alias("finish"), F.lit(last["ord"] if last else 0).cast("int").alias("ord"))
+        taken = lambda f: (slot(f) < cut["slot"]) | ((slot(f) == cut["slot"]) & (F.struct(f.alias("finish"), F.col("ord").cast("int").alias("ord")) <= stop))
+    usable = (F.col("size") > 0) & (F.col("target") > 0)
+    times = sum((F.when(usable & taken(finish(F.lit(e))), 1).otherwise(0) for e in range(epochs)), F.lit(0))
+    return rows.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("epochs_taken"), (times * F.col("size")).cast("long").alias("taken"), F.when(F.col("target") > 0, finish(F.lit(0))).alias("finish"), "text_hash")
+
+
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
+    """The rows of docs, each as many times as the mix takes it; a row stands for all rows that repeat it."""
+    mixed = mix(docs, weights, epochs, seed).where(F.col("epochs_taken") > 0)
+    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text_hash").agg(F.sum("epochs_taken").cast("int").alias("_times"))
+    rows = docs.withColumn("_hash", F.xxhash64(text_of()))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("text_hash"))
+    joined = rows.join(times, same).dropDuplicates(["doc_id", "_source", "_hash"])
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
