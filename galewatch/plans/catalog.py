@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from galewatch.plans import extras, stream_queries  # noqa: F401 (they register their queries)
+from galewatch.plans.radar_queries import ORACLES, QUERIES, flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
