@@ -39,8 +39,11 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return found.join(totals, "host").where(F.col("on") > F.col("pages") * ratio).groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
 
-def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """All columns of pages, `text` without boilerplate lines, and _n_lines, _n_dropped."""
+def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False) -> DataFrame:
+    """All columns of pages, `text` without boilerplate lines, and _n_lines, _n_dropped.
+
+    keep_whole: a page of nothing but boilerplate lines keeps them all.
+    """
     named = pages.select(F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("host"), F.col(text).alias("text"))
     lost = stored(boilerplate(named, ratio, min_pages), "boilerplate").withColumnRenamed("host", "_host")
     rows = pages.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))).join(lost, F.col("_key") == F.col("_host"), "left")
@@ -48,6 +51,8 @@ def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min
     keep = F.filter("_lines", lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("dropped"), name_of(x)))
     rows = rows.withColumn("_lines", lines)
     rows = rows.withColumn("_kept", F.when(F.col("dropped").isNull(), F.col("_lines")).otherwise(keep))
+    if keep_whole:
+        rows = rows.withColumn("_kept", F.when(F.exists("_kept", lambda x: trimmed(x) != ""), F.col("_kept")).otherwise(F.col("_lines")))
     n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
     return rows.select(*[c for c in pages.columns if c != text], F.array_join("_kept", "\n").alias(text), n("_lines").alias("_n_lines"), (n("_lines") - n("_kept")).alias("_n_dropped")).select(*pages.columns, "_n_lines", "_n_dropped")
 
