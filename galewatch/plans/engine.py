@@ -60,6 +60,6 @@ def stream_scans(scans: DataFrame, path: str, checkpoint: str, config: EngineCon
     from galewatch.streaming.sinks import idempotent
 
     config = config or EngineConfig()
-    writer = tracker.stream(scans, config).writeStream.option("checkpointLocation", checkpoint).foreachBatch(idempotent(path))
+    writer = tracker.stream(scans, config, expire=not once).writeStream.option("checkpointLocation", checkpoint).foreachBatch(idempotent(path))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.poll_interval_seconds} seconds")
     return writer.start()

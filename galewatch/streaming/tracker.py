@@ -167,8 +167,11 @@ def replay(scans: DataFrame, config: EngineConfig | None = None, newest_first: b
     return scans.select("site", "scan_time", "candidates").repartition("site").sortWithinPartitions("site", order).mapInPandas(run, OUTPUT)
 
 
-def stream(scans: DataFrame, config: EngineConfig | None = None, drop_late: bool = False) -> DataFrame:
-    """The same over a stream of SCANS, with a site's open tracks in the state store until they expire.
+def stream(scans: DataFrame, config: EngineConfig | None = None, drop_late: bool = False, expire: bool = False) -> DataFrame:
+    """The same over a stream of SCANS, with a site's open tracks in the state store.
+
+    expire: sites without a scan for the retention time lose their state. That is for streams that run on: with a
+    trigger that ends, timeouts by the clock would ask for another batch for ever.
 
     Scans of one micro-batch are taken in the order of their time. A scan older than the last one seen is applied as it
     comes, or left out with drop_late.
@@ -192,10 +195,11 @@ def stream(scans: DataFrame, config: EngineConfig | None = None, drop_late: bool
             out += advance(state, key[0], at, _candidates(row.candidates), config)
             last = max(last, at)
         held.update((json.dumps(state["tracks"]), state["counter"], last))
-        held.setTimeoutDuration(config.track_ttl_seconds * 1000)
+        if expire:
+            held.setTimeoutDuration(config.track_ttl_seconds * 1000)
         yield _frame(out)
 
-    return scans.select("site", "scan_time", "candidates").groupBy("site").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return scans.select("site", "scan_time", "candidates").groupBy("site").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def tracks_of(updates: DataFrame) -> DataFrame:
