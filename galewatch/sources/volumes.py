@@ -74,11 +74,13 @@ def decode(files: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 try:
-                    rays = decoder(row.path, row.content)
-                except Exception as wrong:
-                    yield pd.DataFrame([{"site": row.site, "scan_key": row.scan_key, "error": f"{type(wrong).__name__}: {wrong}", "path": row.path}]).reindex(columns=[*names, "error", "path"])
-                else:
-                    yield rays.assign(site=row.site, scan_key=row.scan_key, error=None, path=row.path).reindex(columns=[*names, "error", "path"])
+                    rays, error = decoder(row.path, row.content), None
+                except Exception as wrong:  # whatever a decoder raises is about this volume
+                    rays, error = pd.DataFrame(index=[0]), f"{type(wrong).__name__}: {wrong}"
+                own = rays.assign(site=row.site, scan_key=row.scan_key, error=error, path=row.path)
+                for name in set(names) - set(own.columns):
+                    own[name] = None
+                yield own[[*names, "error", "path"]]
 
     rows = files.select("site", "scan_key", "path", "content").mapInPandas(run, RAYS + ", error string, path string")
     return rows.where(F.col("error").isNull()).select(*names), rows.where(F.col("error").isNotNull()).select("path", "site", "scan_key", "error")
