@@ -4,12 +4,13 @@ A document is its set of distinct shingles (64-bit names); documents with equal
 when their Jaccard similarity reaches a threshold, so each partner of a class of s shingles shares at least
 T = ceil(threshold * s) of them.
 
-1. Every class sets its T - 1 longest inverted lists aside, as DivideSkip does. What it shares with a partner then
-   shows in one of the short lists. List lengths come from a counter sketch of fixed size over the whole corpus; any
-   fixed order of the shingles gives the same links, lengths only decide how many candidates there are.
-2. Short lists are gathered by shingle. No pairs are listed: classes are dealt to blocks of about BLOCK classes (by the
-   longest of their short lists, split further where that is long), and each pair of blocks that meets in a list is a
-   cell. A cell holds the sets of the classes that met.
+1. Every class sets its T - c longest inverted lists aside, as DivideSkip does: partners then meet in c of the others
+   at least. List lengths come from a counter sketch of fixed size over the whole corpus; any fixed order of the
+   shingles gives the same links, lengths only decide how many candidates there are.
+2. Lists are gathered by shingle. Those of up to FEW classes are merged: occurrences of a pair are counted, and a pair
+   with fewer than c, or with too little after them, is no candidate. Longer lists aren't listed pair by pair.
+   Classes are dealt to blocks (by the longest of their longer lists, split into about BLOCK classes, or else by their
+   smallest candidate partner), and each two blocks that meet in a list or pair are a cell, with the sets that met.
 3. In each cell a local inverted index is searched for each class: short lists are merged and counted, candidates that
    may still reach their overlap are looked up in the long lists by binary search, and those that reach it are links.
 4. Links of a cell leave it as counts by class and a spanning forest, whose components are found over all cells.
@@ -39,8 +40,8 @@ from galewatch.llm.wordarrays import byte_texts, shingle_set
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Counters for list lengths (4 bytes each on the wire, whatever the corpus) and their rows in a sketch.
 SKETCH_BITS, SKETCH_ROWS = 20, 256
-#: Classes per block; a cell has two blocks.
-BLOCK = 512
+#: Classes of a list that is merged pair by pair; classes per block (a cell has two blocks).
+FEW, BLOCK = 16, 512
 #: Bits that say which documents may be asked for their sets (a megabyte, whatever the corpus).
 ASKED_BITS = 23
 #: DivideSkip's weight of the merge against the probes.
@@ -64,6 +65,13 @@ def least_overlap(size: int, num: int, den: int) -> int:
     return -(-num * size // den)
 
 
+def occurrences(size, num: int, den: int):
+    """How often partners of such a set meet at least in the lists that it doesn't set aside (int or column)."""
+    if isinstance(size, int):
+        return min(3 + size // 100, least_overlap(size, num, den))
+    return F.least(3 + F.floor(size / 100), F.floor((size * num + den - 1) / den))
+
+
 def classes_and_sketch(words: int):
     """doc_id, text -> a row per document, and SKETCH_ROWS rows of counters per task."""
     names = ["doc_id", "n_shingles", "class", "part", "counts"]
@@ -108,7 +116,10 @@ def list_lengths(rows: DataFrame) -> np.ndarray:
 
 
 def short_lists(words: int, num: int, den: int, lengths):
-    """doc_id, text -> shingle, class, size: the lists that a class doesn't set aside, each class once per task."""
+    """text -> shingle, class, size, place: the lists that a class doesn't set aside, and how many it puts before each.
+
+    Each class comes once per task.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -119,12 +130,13 @@ def short_lists(words: int, num: int, den: int, lengths):
                 if len(s) == 0 or (name := class_name(s)) in seen:
                     continue
                 seen.add(name)
-                keep = len(s) - least_overlap(len(s), num, den) + 1
+                keep = len(s) - least_overlap(len(s), num, den) + occurrences(len(s), num, den)
                 lists.append(s[np.lexsort((s, lengths.value[bucket(s)]))[:keep]])
                 names.append(name)
                 sizes.append(len(s))
             times = [len(x) for x in lists[1:]]
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate(lists)), pa.array(np.repeat(np.array(names, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], ["shingle", "class", "size"])
+            places = np.concatenate([np.arange(n, dtype=np.int32) for n in [0, *times]])
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(lists)), pa.array(np.repeat(np.array(names, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times)), pa.array(places, pa.int32())], ["shingle", "class", "size", "place"])
 
     return run
 
@@ -239,6 +251,37 @@ def asked_bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
+def met_lists(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """shingle, class, size, place -> shingle, part, class, size, place, length: lists of several classes.
+
+    A list is cut where the next larger class is too large to link with the one before it: then it is with all before.
+    """
+    by_size = Window.partitionBy("shingle").orderBy("size", "class")
+    before = F.lag("size").over(by_size)
+    cut = F.when(before.isNotNull() & (F.lit(den) * before >= F.lit(num) * F.col("size")), 0).otherwise(1)
+    rows = rows.withColumn("cut", cut).withColumn("part", F.sum("cut").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("shingle", "part")
+    rows = rows.select("shingle", "part", "class", "size", "place", F.count("*").over(own).alias("length"), F.min("class").over(own).alias("low"), F.max("class").over(own).alias("high"))
+    return rows.where(F.col("low") < F.col("high")).dropDuplicates(["shingle", "part", "class"]).drop("low", "high")
+
+
+def merged_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """shingle, part, class, size, place of lists of up to FEW classes -> one, two: pairs of classes that may link.
+
+    A pair must meet often enough. It can't share more than what follows its first meeting, nor than its meetings and
+    what follows the last. (Pairs that also meet in a longer list are candidates by that.)
+    """
+    members = lists.groupBy("shingle", "part").agg(F.array_sort(F.collect_list(F.struct("class", "size", "place"))).alias("m"))
+    combined = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(FEW)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = members.select(F.explode(combined).alias("p")).select(F.col("p.a.class").alias("one"), F.col("p.b.class").alias("two"), F.col("p.a.size").alias("s1"), F.col("p.b.size").alias("s2"), F.col("p.a.place").alias("p1"), F.col("p.b.place").alias("p2"))
+    pairs = pairs.where(F.lit(den) * F.least("s1", "s2") >= F.lit(num) * F.greatest("s1", "s2"))
+    met = pairs.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), *[f(c).alias(f"{name}_{c}") for c in ("p1", "p2") for name, f in (("first", F.min), ("last", F.max))])
+    enough = F.col("n") >= F.least(occurrences(F.col("s1"), num, den), occurrences(F.col("s2"), num, den))
+    left = lambda k: F.least(F.col("s1") - F.col(f"{k}_p1"), F.col("s2") - F.col(f"{k}_p2"))
+    reach = F.least(left("first"), F.col("n") + left("last") - 1)
+    return met.where(enough & (reach * (num + den) >= (F.col("s1") + F.col("s2")) * num)).select("one", "two")
+
+
 def join_ngrams(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, class, n_links, component_id.
 
@@ -252,16 +295,21 @@ def join_ngrams(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den:
     classes = sets.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     lengths = spark.sparkContext.broadcast(list_lengths(rows))
 
-    by_shingle = Window.partitionBy("shingle")
-    lists = texts.select("text").mapInArrow(short_lists(words, num, den, lengths), "shingle long, class long, size int")
-    lists = lists.select("shingle", "class", F.count("*").over(by_shingle).alias("length"), F.min("class").over(by_shingle).alias("low"), F.max("class").over(by_shingle).alias("high"))
-    lists = stored(lists.where(F.col("low") < F.col("high")).dropDuplicates(["shingle", "class"]).select("shingle", "class", "length"), "short_lists")
-    homes = lists.groupBy("class").agg(F.max(F.struct("length", "shingle")).alias("home"))
+    lists = texts.select("text").mapInArrow(short_lists(words, num, den, lengths), "shingle long, class long, size int, place int")
+    lists = stored(met_lists(lists, num, den), "short_lists")
+    few = F.col("length") <= FEW
+    pairs = stored(merged_pairs(lists.where(few), num, den), "pairs")
+    longer = lists.where(~few).select(F.xxhash64("shingle", "part").alias("list"), "class", "length")
+    homes = longer.groupBy("class").agg(F.max(F.struct("length", "list")).alias("home"))
     chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("home.length") / BLOCK))
-    homes = homes.select("class", F.xxhash64("home.shingle", chunk).alias("block"))
-    members = stored(lists.join(homes, "class").select("shingle", "class", "block"), "blocks")
-    met = members.select("shingle", F.col("block").alias("other")).distinct()
-    cells = members.join(met, "shingle").select(F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "class", "block").distinct()
+    homes = homes.select("class", F.xxhash64("home.list", chunk).alias("home"))
+    ends = pairs.select(F.col("one").alias("class"), F.col("one").alias("by")).unionAll(pairs.select(F.col("two").alias("class"), F.col("one").alias("by")))
+    blocks = ends.groupBy("class").agg(F.min("by").alias("by")).join(homes, "class", "full").select("class", F.coalesce("home", "by").alias("block"))
+    key = F.xxhash64("one", "two", F.lit(1)).alias("list")
+    meetings = longer.select("list", "class").unionAll(pairs.select(key, F.explode(F.array("one", "two")).alias("class")))
+    members = stored(meetings.join(blocks, "class").select("list", "class", "block"), "blocks")
+    met = members.select("list", F.col("block").alias("other")).distinct()
+    cells = members.join(met, "list").select(F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "class", "block").distinct()
     cells = stored(cells, "cells")
 
     wanted = stored(cells.select("class").distinct().join(classes, "class"), "wanted")
