@@ -46,15 +46,17 @@ def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min
     """
     named = pages.select(F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("host"), F.col(text).alias("text"))
     lost = stored(boilerplate(named, ratio, min_pages), "boilerplate").withColumnRenamed("host", "_host")
-    rows = pages.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))).join(lost, F.col("_key") == F.col("_host"), "left")
-    lines = F.split(F.col(text), "\n", -1)
+    # The page's own columns travel in one struct, so that none of them can clash with these.
+    rows = pages.select(F.struct(*pages.columns).alias("_row"), F.col(text).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("_key")).join(lost, F.col("_key") == F.col("_host"), "left")
+    lines = F.split("_text", "\n", -1)
     keep = F.filter("_lines", lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("dropped"), name_of(x)))
     rows = rows.withColumn("_lines", lines)
     rows = rows.withColumn("_kept", F.when(F.col("dropped").isNull(), F.col("_lines")).otherwise(keep))
     if keep_whole:
         rows = rows.withColumn("_kept", F.when(F.exists("_kept", lambda x: trimmed(x) != ""), F.col("_kept")).otherwise(F.col("_lines")))
     n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    return rows.select(*[c for c in pages.columns if c != text], F.array_join("_kept", "\n").alias(text), n("_lines").alias("_n_lines"), (n("_lines") - n("_kept")).alias("_n_dropped")).select(*pages.columns, "_n_lines", "_n_dropped")
+    own = [F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row")[c].alias(c) for c in pages.columns]
+    return rows.select(*own, n("_lines").alias("_n_lines"), (n("_lines") - n("_kept")).alias("_n_dropped"))
 
 
 #: Read alike by Java's and RE2's engines. Blocks end lines; what is no text goes first.

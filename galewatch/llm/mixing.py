@@ -82,11 +82,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it; a row stands for all rows that repeat it."""
     mixed = mix(docs, weights, epochs, seed).where(F.col("epochs_taken") > 0)
-    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "text_hash").agg(F.sum("epochs_taken").cast("int").alias("_times"))
-    rows = docs.withColumn("_hash", F.xxhash64(text_of()))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("text_hash"))
-    joined = rows.join(times, same).dropDuplicates(["doc_id", "_source", "_hash"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash")).agg(F.sum("epochs_taken").cast("int").alias("_times"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_a"), F.col("source").cast("string").alias("_b"), F.xxhash64(text_of()).alias("_c"))
+    same = F.col("_a").eqNullSafe(F.col("_id")) & F.col("_b").eqNullSafe(F.col("_source")) & (F.col("_c") == F.col("_hash"))
+    joined = rows.join(times, same).dropDuplicates(["_a", "_b", "_c"])
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -335,8 +335,9 @@ def keep_first(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: i
     Documents without words are each a component of their own and stay; so do rows without a doc_id, which nothing names.
     """
     found = join_ngrams(docs, words, num, den).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"))
+    named = rows.where(F.col("_id").isNotNull()).join(found, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
+    return named.unionByName(rows.where(F.col("_id").isNull())).select("_row.*")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
