@@ -33,10 +33,10 @@ def customer_cube(spark, sf_dir):
     return c.cube("n_name", "c_mktsegment").agg(F.count("*").alias("n"), (F.grouping("n_name") + F.grouping("c_mktsegment") * 2).cast("int").alias("level"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def idle_customers(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    idle = c.join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    idle = c.join(read(spark, sf_dir, "orders").where(F.col("o_totalprice") > 300000), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
     return idle.subtract(c.where(F.col("c_acctbal") < 0).select("c_custkey"))
 
 
@@ -46,7 +46,7 @@ def part_ranks(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.rank().over(w).alias("price_rank"), F.ntile(4).over(w).alias("quartile"))
 
 
-@query("""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def hourly_events(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total")
+    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("event_type", F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "n", "total")
