@@ -13,6 +13,7 @@ from galewatch.operators.cells import identify_cells
 from galewatch.operators.chips import chip_parts
 from galewatch.operators.quality import evaluate
 from galewatch.operators.scoring import Scorer, score
+from galewatch.sources.volumes import newest_unprocessed
 from galewatch.streaming import tracker
 from galewatch.streaming.sinks import detections_table, results_table
 
@@ -44,6 +45,25 @@ def process_scans(rays: DataFrame, volumes: DataFrame, sites: DataFrame, make_sc
     return Processed(cells, updates, results_table(cells, sites), detections_table(cells, updates, sites))
 
 
+def due_scans(catalog: DataFrame, processed: DataFrame, queue: DataFrame) -> DataFrame:
+    """The newest unprocessed scan of every site that is due (schedule.due_queue), in the order in which sites are due.
+
+    One job takes all due sites at once: tasks are the workers, and no two hold the same site.
+    """
+    due = queue.where("due").select("site", "due_at", "priority")
+    return newest_unprocessed(catalog, processed).join(due, "site").orderBy("due_at", "priority", "site")
+
+
+def attempts_of(outcomes: DataFrame, queue: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """What became of every due site, as ATTEMPTS without seq: outcomes by site, failed volumes, and sites without a new scan."""
+    counts = ("cells_found", "chips_processed", "raw_detections", "detections")
+    own = outcomes.select("site", "status", *counts)
+    if errors is not None:
+        own = own.unionByName(errors.select("site", F.lit("error").alias("status"), *[F.lit(0).alias(c) for c in counts]).distinct())
+    rest = queue.where("due").select("site").join(own.select("site"), "site", "left_anti")
+    return own.unionByName(rest.select("site", F.lit("no_new_scan").alias("status"), *[F.lit(0).alias(c) for c in counts]))
+
+
 def scan_outcomes(volumes: DataFrame, cells: DataFrame, scored: DataFrame, updates: DataFrame) -> DataFrame:
     """One row a scan: status, cells found, chips processed, raw detections, pending tracks, detections."""
     found = cells.groupBy("scan_key").agg(F.count("*").cast("int").alias("cells_found"))

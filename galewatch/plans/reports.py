@@ -132,3 +132,37 @@ def plot_gates(rays: DataFrame, volumes: DataFrame, cells: DataFrame, field: str
     gates = gates.where(F.col("g.v").isNotNull() & (F.col("g.r") / 1000.0 <= F.col("limit")))
     lat, lon = destination(F.col("lat"), F.col("lon"), F.col("azimuth_deg"), F.col("g.r") / 1000.0)
     return gates.select("scan_key", "azimuth_deg", (F.col("g.r") / 1000.0).alias("range_km"), lat.alias("lat"), lon.alias("lon"), F.col("g.v").alias("value"))
+
+
+def decision_flags(probability: Column, threshold: Column, above: Column, actionable: Column) -> tuple[Column, Column]:
+    """Above-threshold and actionable; without a decision the score alone decides."""
+    return F.coalesce(above, probability >= threshold), F.coalesce(actionable, above, probability >= threshold)
+
+
+def padded(items: Column, n: int, kind: str) -> Column:
+    """An array cut or filled with nulls to n items."""
+    return F.slice(F.concat(F.coalesce(items, F.array().cast(f"array<{kind}>")), F.array_repeat(F.lit(None).cast(kind), n)), 1, n)
+
+
+def overlay_hits(cells: DataFrame, sites: DataFrame) -> DataFrame:
+    """Over-threshold cells with their centroid and the point of the model's peak, the centroid where there is none."""
+    rows = cells.where("above_threshold").join(sites.select(F.col("site_id").alias("site"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "site")
+    lat, lon = destination(F.col("_lat"), F.col("_lon"), F.col("az_deg"), F.col("range_km"))
+    alat, alon = destination(F.col("_lat"), F.col("_lon"), F.col("activation_az_deg"), F.col("activation_range_km"))
+    rows = rows.withColumns({"lat": lat, "lon": lon, "hit_lat": alat, "hit_lon": alon}).drop("_lat", "_lon")
+    return rows.withColumn("hit_lat", F.coalesce("hit_lat", "lat")).withColumn("hit_lon", F.coalesce("hit_lon", "lon"))
+
+
+def highlight(kind: str) -> Column:
+    """Row classes of the tables: cells by marker, scans by what was found, tracks by status."""
+    if kind == "cells":
+        return F.col("marker_class")
+    if kind == "scans":
+        return F.when(F.col("n_newly_confirmed") > 0, "new").when(F.col("n_confirmed") > 0, "confirmed").when(F.col("n_raw") > 0, "raw").otherwise("plain")
+    return F.when(F.col("status") == TRACK_STATUS[0], "active").when(F.col("status") == TRACK_STATUS[1], "valid").when(F.col("status") == TRACK_STATUS[2], "persistent").otherwise("plain")
+
+
+def stage_times(timings: DataFrame) -> DataFrame:
+    """scan_key, stage, seconds -> the same with the scan's total and whether a stage was its longest."""
+    by = Window.partitionBy("scan_key")
+    return timings.withColumn("total", F.sum("seconds").over(by)).withColumn("is_longest", F.col("seconds") == F.max("seconds").over(by))
