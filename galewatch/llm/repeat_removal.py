@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galewatch.llm.common import stored, table, text_of
@@ -306,7 +306,10 @@ def find_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     base = stored(texts.select("doc_id", "class", F.octet_length("text").cast("long").alias("n_bytes")), "text_classes")
     classes = stored(base.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")), "classes")
     marks = texts.select("class", "text").mapInArrow(found_anchors(least), "gram long, class long, at int, low int, high int")
-    marks = marks.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where(F.col("n") > 1)
+    # Not a window: a gram of a periodic text may hold a third of all anchors, and a join's hot side can be split.
+    # (Where both of its sides are dealt for it: so the counts are written first.)
+    again = stored(marks.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("gram"), "grams")
+    marks = marks.join(again, "gram")
     marks = marks.groupBy("class").agg(F.collect_list(F.struct("gram", "at", "low", "high")).alias("marks"))
     wanted = stored(marks.join(classes.select("class", "first_id"), "class"), "marks")
     told = class_texts(docs, wanted).select("class", "text", "marks").mapInArrow(told_contexts(least), CONTEXT)
