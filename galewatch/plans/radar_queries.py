@@ -95,7 +95,7 @@ def dedupe_ordered(spark, sf_dir):
 @query(f"""WITH {SITE_DIM}, e AS (SELECT event_id, upper(event_type) || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS filename, ts FROM events)
 SELECT event_id, filename, CASE WHEN length(filename) < 4 THEN NULL ELSE substr(filename, 1, 4) END AS upload_site, upper(event_id::VARCHAR) AS said FROM e WHERE event_id % 3 = 0""")
 def upload_site(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where(F.col("event_id") % 3 == 0)
+    e = read(spark, sf_dir, "events")
     name = F.concat(F.upper("event_type"), F.lit("_"), F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd_HHmmss"))
     return e.select("event_id", name.alias("filename")).select("event_id", "filename", volumes.site_of_upload(F.col("filename")).alias("upload_site"), text.site_key(F.col("event_id").cast("string")).alias("said"))
 
@@ -185,7 +185,7 @@ u AS (SELECT event_id, i, az_deg, az_deg + (((a - az_deg + 180.0::DOUBLE) % 360.
 SELECT event_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY u, i) AS rays FROM u WHERE u BETWEEN az_deg - 30.0::DOUBLE AND az_deg + 30.0::DOUBLE GROUP BY event_id""")
 def azimuth_window(spark, sf_dir):
     azimuths = F.array(*[F.lit(float(i * 17 % 360)) for i in range(72)])
-    rows = candidates(spark, sf_dir).where(F.col("event_id") % 4 == 0)
+    rows = candidates(spark, sf_dir)
     return rows.select("event_id", F.array_join(chips.azimuth_window(azimuths, F.col("az_deg"), CONFIG.chip_azimuth_span_deg).cast("array<string>"), ",").alias("rays"))
 
 
