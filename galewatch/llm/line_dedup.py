@@ -1,8 +1,8 @@
 """Line dedup by site-relative frequency.
 
 A line is named by two 64-bit hashes of its trimmed text. Pages of a host that contain it, divided by the host's pages,
-give its boilerplate ratio; lines above the limit go from every page of that host. Hosts with fewer than MIN_PAGES
-pages lose nothing, since a ratio over a handful of pages says little.
+give its boilerplate ratio; lines above the limit go from every page of that host. A line must be on MIN_ON pages, as one page
+repeats nothing; hosts of every size are treated alike. MIN_PAGES, a floor on a host's pages, is in the SQL only.
 
 A host's dropped lines number at most its lines per page divided by the ratio, whatever its number of pages. They are
 written first, so that Spark broadcasts them only where their size is under its threshold and else splits hot hosts.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from galewatch.llm.common import stored, table
 
-RATIO, MIN_PAGES = 0.2, 20
+RATIO, MIN_ON, MIN_PAGES = 0.2, 2, 20
 BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -30,16 +30,16 @@ def name_of(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed(line)).alias("a"), F.xxhash64(F.lit(1), trimmed(line)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = 1) -> DataFrame:
     """host (not null), text -> host, dropped: array of line names."""
     totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: trimmed(x) != ""), name_of))
     found = pages.where(F.col("text").isNotNull()).select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("on"))
-    found = found.where(F.col("on") > F.lit(ratio * min_pages))
+    found = found.where((F.col("on") >= MIN_ON) & (F.col("on") > F.lit(ratio * min_pages)))
     return found.join(totals, "host").where(F.col("on") > F.col("pages") * ratio).groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
 
-def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False) -> DataFrame:
+def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = 1, keep_whole: bool = False) -> DataFrame:
     """All columns of pages, `text` without boilerplate lines, and _n_lines, _n_dropped.
 
     keep_whole: a page of nothing but boilerplate lines keeps them all.
