@@ -159,7 +159,7 @@ c AS (SELECT g.sweep_id, l.label, count(*) AS n_gates, max(g.dbz) AS dbz_max, ro
 SELECT sweep_id, CAST(label AS INTEGER) AS label, CAST(n_gates AS INTEGER) AS n_gates, dbz_max, CAST(y AS INTEGER) AS az_center_idx, CAST(x AS INTEGER) AS range_center_idx,
   CAST(row_number() OVER (PARTITION BY sweep_id ORDER BY dbz_max DESC, label) - 1 AS INTEGER) AS cand_idx FROM c""")
 def connected_cells(spark, sf_dir):
-    g = sweep_gates(spark, sf_dir).where(F.col("dbz") >= 60.0).select("sweep_id", "ray_idx", "gate_idx", "dbz")
+    g = sweep_gates(spark, sf_dir).where(F.col("dbz") >= CONFIG.cell_dbz_threshold).select("sweep_id", "ray_idx", "gate_idx", "dbz")
     found = cells.clusters(cells.label_gates(g, "sweep_id"), 5, "sweep_id")
     return cells.rank_cells(found, "sweep_id").select("sweep_id", "label", "n_gates", "dbz_max", "az_center_idx", "range_center_idx", "cand_idx")
 
