@@ -2,8 +2,9 @@
 
 Only vectors with equal labels are compared. Equal vectors of a label are one class. The classes of a label are dealt
 to shards of about SHARD, each shard gets a graph, and every pair of shards of a label is searched: the classes of one
-in the graph of the other. An audit compares AUDITED queries of each pair of shards with a scan of all; while it finds
-less than RECALL of the links, beams are widened, at last to a scan. Cosines are verified in double precision, links
+in the graph of the other. An audit scans blocks of AUDITED queries of each pair of shards until it has seen SEEN links
+(a query's hit on itself is none); while the graph finds less than RECALL of them, beams are widened, at last to a scan.
+Where all queries together have fewer links, the audit was a scan of all, and its links are the result. Cosines are verified in double precision, links
 are counted by class, and components are found over the spanning forests of all pairs of shards.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component, or that has no label, links
@@ -25,7 +26,7 @@ from galewatch.llm.hnsw import BEAM, Graph
 
 THRESHOLD = 0.93
 SHARD = 8192
-AUDITED, RECALL = 256, 0.99
+AUDITED, SEEN, RECALL = 256, 100, 0.99
 GRAPHS = "label string, size int, shard int, graph binary, classes binary, copies binary, exact binary"
 LINKS = "class long, component long, links long"
 
@@ -42,18 +43,37 @@ def build(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([[rows["label"][0], rows["size"][0], rows["shard"][0], graph.to_bytes(), *held, exact[order].tobytes()]], columns=[c.split()[0] for c in GRAPHS.split(", ")])
 
 
+def audited(queries: np.ndarray, exact: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries scanned until SEEN links have been met, and all (query, node) pairs they have, self hits included."""
+    drawn = np.random.default_rng(0).permutation(len(queries))
+    pairs, links, at = [], 0, 0
+    while at < len(drawn) and links < SEEN:
+        block = drawn[at : at + AUDITED]
+        r, b = np.nonzero(queries[block] @ exact.T >= threshold)
+        pairs.append((block[r], b))
+        links += np.sum(block[r] != b) if queries is exact else len(b)
+        at += len(block)
+    return drawn[:at], np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+
+
 def pairs_within(graph: Graph, queries: np.ndarray, exact: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a cosine of at least `threshold`, beams widened until the audit passes."""
+    """(query, node) pairs with a cosine of at least `threshold`, beams widened until the audit passes.
+
+    A shard searched in itself is given as the same array twice.
+    """
     loose = threshold - 1e-4  # single precision proposes, double decides
-    asked = np.unique(np.linspace(0, len(queries) - 1, min(len(queries), AUDITED)).astype(int))
-    true = queries[asked] @ exact.T >= threshold
     width = BEAM
     q = queries.astype(np.float32)
-    while 4 * width < len(exact):
-        a, b = graph.within(q[asked], loose, width)
-        if true[a, b].sum() >= RECALL * true.sum():
-            break
-        width *= 4
+    if 4 * width < len(exact):
+        asked, a, b = audited(queries, exact, threshold)
+        if len(asked) == len(queries):
+            return a, b
+        true = (a * len(exact) + b)[a != b] if queries is exact else a * len(exact) + b
+        while 4 * width < len(exact):
+            a, b = graph.within(q[asked], loose, width)
+            if np.isin(true, asked[a] * len(exact) + b).sum() >= RECALL * len(true):
+                break
+            width *= 4
     a, b = graph.within(q, loose, width)
     cos = np.concatenate([np.einsum("id,id->i", queries[a[i : i + 65536]], exact[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
     return a[cos >= threshold], b[cos >= threshold]

@@ -1,8 +1,10 @@
 """Small and rare groups get the whole job as well."""
 
+import numpy as np
+import pytest
 from conftest import SMALL, same
 
-from galewatch.llm import line_dedup
+from galewatch.llm import line_dedup, vector_dedup
 
 
 def test_lines_of_small_hosts(spark):
@@ -26,3 +28,33 @@ def test_lines_of_a_small_source_in_the_pipeline(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in pipeline.boilerplate_lines(spark, docs, SMALL).collect()}
     assert got == {i: f"own {i}" for i in range(5)} | {9: "same", 10: "same"}
+
+
+class Blind:
+    """A graph that finds nothing but a query's own node until its beam is a scan."""
+
+    def __init__(self, x, own):
+        self.x, self.own = x, own
+
+    def within(self, q, least, width):
+        hit = q @ self.x.T.astype(np.float32) >= least
+        if 4 * width < len(self.x):
+            hit &= self.own & (q @ self.x.T.astype(np.float32) >= 1 - 1e-6)
+        return np.nonzero(hit)
+
+
+@pytest.mark.parametrize("own,links", [(True, 2), (True, 400), (False, 2), (False, 400)])
+def test_audit_of_sparse_links(own, links):
+    rng = np.random.default_rng(links)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(2000, 48)))
+    y = unit(rng.normal(size=(2000, 48)))
+    at = rng.choice(1000, links, replace=False)
+    if own:
+        y = x
+        x[at + 1000] = unit(x[at] + 0.01 * rng.normal(size=(links, 48)))
+    else:
+        x[at] = unit(y[at + 1000] + 0.01 * rng.normal(size=(links, 48)))
+    got = set(zip(*map(np.ndarray.tolist, vector_dedup.pairs_within(Blind(y, own), x, y, 0.93))))
+    assert {p for p in got if not own or p[0] != p[1]} == {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(x @ y.T >= 0.93))) if not own or a != b}
+    assert len(got) >= links
