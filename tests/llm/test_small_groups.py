@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import SMALL, same
 
-from galewatch.llm import line_dedup, vector_dedup
+from galewatch.llm import line_dedup, pii, vector_dedup
 
 
 def test_lines_of_small_hosts(spark):
@@ -58,3 +58,12 @@ def test_audit_of_sparse_links(own, links):
     got = set(zip(*map(np.ndarray.tolist, vector_dedup.pairs_within(Blind(y, own), x, y, 0.93))))
     assert {p for p in got if not own or p[0] != p[1]} == {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(x @ y.T >= 0.93))) if not own or a != b}
     assert len(got) >= links
+
+
+def test_rare_kind_beside_many_addresses(spark):
+    ips = [(i, " x ".join(f"{999 if k % 2 else 10}.{i % 250}.{k}.1" for k in range(20))) for i in range(1000)]
+    mails = [(2000 + i, f"mail to ann{i}@mail{i % 7}.example.org now") for i in range(150)]
+    loose = [(3000 + i, f"mail to bob{i} [at] mail{i % 7} [dot] example [dot] org now") for i in range(20)]
+    docs = spark.createDataFrame(ips + mails + loose, "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find_pii(docs).where("doc_id >= 2000").collect()}
+    assert got == {d: ["email"] for d in got} and len(got) == 170
