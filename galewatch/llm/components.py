@@ -15,7 +15,7 @@ from galewatch.llm.common import stored
 
 
 def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0))).first())
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)).cast("decimal(28,0)")), F.lit(0))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import SMALL, same
 
-from galewatch.llm import line_dedup, pii, vector_dedup
+from galewatch.llm import components, line_dedup, pii, vector_dedup
 
 
 def test_lines_of_small_hosts(spark):
@@ -67,3 +67,9 @@ def test_rare_kind_beside_many_addresses(spark):
     docs = spark.createDataFrame(ips + mails + loose, "doc_id long, text string")
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find_pii(docs).where("doc_id >= 2000").collect()}
     assert got == {d: ["email"] for d in got} and len(got) == 170
+
+
+def test_signature_of_many_edges(spark):
+    n, total = components._signature(spark.range(1 << 25).selectExpr("id u", "id + 1 v"))
+    assert n == 1 << 25 and total > 1 << 63
+    assert components._signature(spark.createDataFrame([], "u long, v long")) == (0, 0)
