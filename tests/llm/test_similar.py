@@ -67,22 +67,74 @@ def near_copies(seed=1, groups=12, words=80):
     return rows + [rows[-1]]
 
 
-@pytest.mark.parametrize("k,num,den,few", [(4, 85, 100, 16), (5, 4, 5, 2)])
-def test_join_equals_brute_force(spark, monkeypatch, k, num, den, few):
-    monkeypatch.setattr(ngram_join, "FEW", few)
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+def joined(docs, *rule):
+    links = Counter((r["doc_id"], r["n_links"]) for r in ngram_join.count_links(docs, *rule).collect())
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_ngrams(docs, *rule).collect()), links
+
+
+@pytest.mark.parametrize("k,num,den,few,hot,levels", [(4, 85, 100, 16, 1 << 20, 6), (5, 4, 5, 2, 3, 1), (4, 1, 2, 2, 1 << 20, 6), (3, 1, 1, 2, 3, 2)])
+def test_join_equals_brute_force(spark, monkeypatch, k, num, den, few, hot, levels):
+    for name, value in (("FEW", few), ("BLOCK", 4), ("CHUNK", 3), ("HOT", hot), ("HOT_MEANS", 0), ("LEVELS", levels)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies()
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, class string, shingle int")
-    got = sorted((r["doc_id"], r["n_shingles"], r["n_links"], r["component_id"]) for r in ngram_join.join_ngrams(docs, k, num, den).collect())
-    assert got == brute_join(rows, k, num, den)
+    got, links = joined(docs, k, num, den)
+    want = brute_join(rows, k, num, den)
+    assert got == [(d, n, c) for d, n, _, c in want]
+    assert links == Counter((d, n) for d, _, n, _ in want)
+
+
+def copies_of_copies(seed, n=150, words=120):
+    """A large group whose members are edited copies of each other, half of them too far apart, and a shared passage."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(60)}" for _ in range(words)]
+    texts = [base]
+    for i in range(n):
+        own = list(rng.choice(texts[:6] if rng.random() < 0.7 else texts))
+        for _ in range(rng.randrange(9)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[f"y{rng.randrange(40)}"], [], [own[at], f"u{i}"]])
+        texts.append(own)
+    passage = [f"q{i}" for i in range(70)]
+    texts += [[*passage, *(f"t{i}v{j}" for j in range(rng.randrange(12)))] for i in range(60)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed,few,levels", [(1, 4, 6), (3, 2, 2)])
+def test_large_groups_equal_brute_force(spark, monkeypatch, seed, few, levels):
+    for name, value in (("FEW", few), ("BLOCK", 16), ("CHUNK", 20), ("LEVELS", levels)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = copies_of_copies(seed)
+    got, _ = joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
+    want = [(d, n, c) for d, n, _, c in brute_join(rows, 4, 85, 100)]
+    assert got == want
+    assert 20 < len({c for _, _, c in want}) < 190
+
+
+def test_large_groups_do_not_meet_in_pairs(spark, monkeypatch):
+    made, n = [], 1600
+    monkeypatch.setattr(ngram_join, "compare", lambda found, *a, compare=ngram_join.compare: made.append(found.count()) or compare(found, *a))
+    rng = random.Random(n)
+    rows = []
+    for i in range(n):
+        own = [f"w{j}" for j in range(150)]
+        for j in range(rng.randrange(6)):
+            own[rng.randrange(150)] = f"e{i}.{j}"
+        rows.append((i, " ".join(own)))
+    ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).count()
+    assert sum(made) < 10 * n
 
 
 def test_join_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
-    got = ngram_join.join_ngrams(docs).collect()
-    assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in got} == {(None, 4, 2), (4, 4, 2)}
-    assert ngram_join.join_ngrams(docs.where("false")).count() == 0
-    assert ngram_join.keep_first(docs.where("doc_id is not null").union(docs.where("doc_id is not null"))).count() == 1
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_ngrams(docs).collect()}
+    assert got == {(None, 2, 4), (4, 2, 4)}
+    assert {(r["doc_id"], r["n_links"]) for r in ngram_join.count_links(docs).collect()} == {(None, 2), (4, 2)}
+    assert ngram_join.join_ngrams(docs.where("false")).count() == ngram_join.count_links(docs.where("false")).count() == 0
+    assert ngram_join.keep_first(docs).collect() == [(4, "a b c d e f")]
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven"), (1, None), (1, None), (1, ""), (None, None), (2, "One two three four five six")]
+    kept = ngram_join.keep_first(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component string")).collect()
+    assert sorted(((r[0], r[1]) for r in kept), key=str) == sorted([rows[0], rows[1], rows[2], rows[4], rows[5]], key=str)
 
 
 def test_divide_skip_on_small_sets():
