@@ -13,8 +13,9 @@ T = ceil(threshold * s) of them.
    is compared with all others. Two classes that both link with the pivot are in one component and need not meet. For
    any other two, a and b, |a ^ b| = |a ^ p| + |b ^ p| - 2 |(a ^ p) & (b ^ p)|, and at least one of them is too far from
    the pivot p: so they link only if they share some of their differences from p, at least a known number of them. Each
-   class is posted under its rarest differences, as many as that number asks for, and these new and much shorter
-   lists are treated as the lists before them. After LEVELS rounds what is left of long lists goes to 5.
+   class is posted under its rarest differences, as many as that number asks for. Of these new and much shorter lists,
+   those of up to FEW classes give pairs, those of up to GROUP are searched in one task each, as in 5, and longer ones
+   get pivots of their own. After LEVELS rounds what is left of long lists goes to 5.
 4. Two sets are compared by binary probes of one in the other.
 5. Where links are counted, and for long lists that are left, classes are dealt to blocks, each two blocks that meet in
    a list or pair are a cell with the sets that met, and a local inverted index is searched in each cell by DivideSkip:
@@ -51,8 +52,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Counters for list lengths (4 bytes each on the wire, whatever the corpus) and their rows in a sketch.
 SKETCH_BITS, SKETCH_ROWS = 20, 256
 #: Classes of a list that is merged pair by pair; classes per block (a cell has two blocks); classes that are compared
-#: with a pivot in one task; rounds of pivots.
-FEW, BLOCK, CHUNK, LEVELS = 16, 512, 512, 6
+#: with a pivot in one task; classes of a list of differences that is searched in one task; rounds of pivots.
+FEW, BLOCK, CHUNK, GROUP, LEVELS = 16, 512, 512, 512, 4
 #: A list that may be longer, by the sketch, is never gathered (nor if it may be HOT_MEANS times the mean counter).
 HOT, HOT_MEANS = 1 << 20, 4
 #: Bits that say which documents may be asked for their sets (a megabyte, whatever the corpus).
@@ -128,10 +129,6 @@ def list_lengths(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def rarest(shingles: np.ndarray, lengths: np.ndarray, keep: int) -> np.ndarray:
-    return shingles[np.lexsort((shingles, lengths[bucket(shingles)]))[:keep]]
-
-
 def short_lists(words: int, num: int, den: int, lengths, hot: int):
     """text -> shingle, class, size, place, hot: the lists that a class doesn't set aside, how many it puts before each.
 
@@ -148,7 +145,7 @@ def short_lists(words: int, num: int, den: int, lengths, hot: int):
                     continue
                 seen.add(name)
                 keep = len(s) - least_overlap(len(s), num, den) + occurrences(len(s), num, den)
-                lists.append(rarest(s, lengths.value, keep))
+                lists.append(s[np.lexsort((s, lengths.value[bucket(s)]))[:keep]])
                 names.append(name)
                 sizes.append(len(s))
             times = [len(x) for x in lists[1:]]
@@ -316,14 +313,17 @@ def compared(num: int, den: int, lengths):
     so that d - D(a, b) are.
     """
 
-    def posted(a: np.ndarray, p: np.ndarray, held: np.ndarray, linked: bool) -> Iterator[tuple[np.ndarray, int, int]]:
+    def posted(a: np.ndarray, p: np.ndarray, held: np.ndarray, linked: bool, counts: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
         lost = np.ones(len(p), bool)
         lost[np.searchsorted(p, a[held])] = False
-        apart = np.concatenate([a[~held], p[lost]])
+        extra, lost = a[~held], p[lost]
+        # What the pivot alone has is lost by all others: there, the most frequent shingle is the rarest difference.
+        rank = np.r_[counts[bucket(extra)], counts[bucket(p)].max() - counts[bucket(lost)]]
+        apart = np.r_[extra, lost]
+        apart = apart[np.lexsort((apart, rank))]
         d, k = len(apart), len(p) - len(a)
         far = d - max(1, -(-(d + 1 + k - 2 * -(-num * k // (num + den))) // 2)) + 1
         largest = len(a) + len(a) * den // num
-        apart = rarest(apart, lengths.value, d)
         if linked:
             yield apart[:far], 0, 1
         else:
@@ -331,6 +331,7 @@ def compared(num: int, den: int, lengths):
             yield apart[:far], -1, 0
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = lengths.value.astype(np.int64)
         p, pivot = np.zeros(0, np.uint64), None
         names = ["list", "class", "size", "place", "role", "link"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
@@ -347,7 +348,7 @@ def compared(num: int, den: int, lengths):
                 linked = den * shared >= num * (len(a) + len(p) - shared)
                 if linked:
                     links.append((own, name))
-                for tokens, role, side in posted(a, p, held, linked) if star else ():
+                for tokens, role, side in posted(a, p, held, linked, counts) if star else ():
                     n = len(tokens)
                     group = np.full(n, np.int64(name)).view(np.uint64)
                     lists.append((mixed([group, tokens, np.full(n, side, np.uint64)]), np.full(n, own), np.full(n, len(a), np.int32), np.arange(n, dtype=np.int32), np.full(n, role, np.int32)))
@@ -360,12 +361,17 @@ def compared(num: int, den: int, lengths):
     return run
 
 
-def candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """list, class, size, place, role -> pivot, class, star: each class of a long list with its pivot, pairs of others."""
+def met_again(lists: DataFrame) -> DataFrame:
+    """list, class, size, place, role -> with n and pivot: the rows of lists in which classes meet."""
     told = lists.groupBy("list").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct("place", "class")).alias("pivot"), F.min("role").alias("role0"), F.max("role").alias("role1"))
     told = told.where((F.col("low") < F.col("high")) & ((F.col("role0") < 0) | (F.col("role0") < F.col("role1")))).select("list", "n", F.col("pivot.class").alias("pivot"))
-    met = lists.join(told, "list")
-    star = met.where((F.col("n") > FEW) & (F.col("pivot") != F.col("class"))).select("pivot", "class", F.lit(True).alias("star"))
+    return lists.join(told, "list")
+
+
+def candidates(met: DataFrame, longest: int, num: int, den: int) -> DataFrame:
+    """Rows of met_again -> pivot, class, star: each class of a list of more than `longest` with its pivot, and the pairs
+    of those of up to FEW."""
+    star = met.where((F.col("n") > longest) & (F.col("pivot") != F.col("class"))).select("pivot", "class", F.lit(True).alias("star"))
     members = met.where(F.col("n") <= FEW).groupBy("list").agg(F.array_sort(F.collect_list(F.struct("class", "size", "role"))).alias("m"))
     pairs = members.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(FEW)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
     may = (F.col("p.a.class") < F.col("p.b.class")) & ((F.col("p.a.role") < 0) | (F.col("p.a.role") != F.col("p.b.role")))
@@ -396,7 +402,12 @@ def in_cells(longer: DataFrame, pairs: DataFrame, sets: DataFrame, classes: Data
     members = stored(meetings.join(blocks, "class").select("list", "class", "block"), "blocks")
     met = members.select("list", F.col("block").alias("other")).distinct()
     cells = members.join(met, "list").select(F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "class", "block").distinct()
-    full = stored(cells, "cells").join(sets.join(classes.select("class", "copies"), "class"), "class").select("cell", "class", "block", "copies", "shingles")
+    return searched(stored(cells, "cells").join(classes.select("class", "copies"), "class"), sets, num, den)
+
+
+def searched(cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """cell, class, block, copies -> class, component (of the cell), links."""
+    full = cells.join(sets, "class").select("cell", "class", "block", "copies", "shingles")
     found = full.repartition("cell").sortWithinPartitions("cell").mapInArrow(cell_links(num, den), "class long, component long, links long")
     return stored(found, "cell_links")
 
@@ -446,20 +457,22 @@ def linked_classes(found: Lists, num: int, den: int) -> DataFrame:
     need = F.ceil(F.lit(num) * (F.col("size") + partner) / (num + den))
     lists = lists.join(least, "list").where(F.col("place") < F.col("size") - need + occurrences(F.col("size"), num, den)).drop("least")
     pairs = found.pairs.select(F.col("one").alias("pivot"), F.col("two").alias("class"), F.lit(False).alias("star"))
+    edges = lambda rows: rows.select(F.col("class").alias("u"), F.col("component").alias("v"))
     links = None
     for level in range(LEVELS + 1):
-        lists = stored(lists, "lists") if level == 0 else lists
-        met = candidates(lists, num, den)
-        met = stored((met.unionAll(pairs) if level == 0 else met).groupBy("pivot", "class").agg(F.max("star").alias("star")), "candidates")
+        met = stored(met_again(lists), "met")
         if level and met.isEmpty():
             break
         if level == LEVELS:
-            often = lists.groupBy("list").agg(F.count("*").alias("length"))
-            none = found.pairs.where(F.lit(False))
-            new = in_cells(lists.join(often, "list"), none, found.sets, found.classes, num, den).select(F.col("class").alias("u"), F.col("component").alias("v"))
+            new = edges(in_cells(met.select("list", "class", F.col("n").alias("length")), found.pairs.where(F.lit(False)), found.sets, found.classes, num, den))
         else:
-            told = stored(compare(met, found.sets, num, den, found.lengths), "compared")
+            asked = candidates(met, GROUP if level else FEW, num, den)
+            asked = stored((asked if level else asked.unionAll(pairs)).groupBy("pivot", "class").agg(F.max("star").alias("star")), "candidates")
+            told = stored(compare(asked, found.sets, num, den, found.lengths), "compared")
             lists, new = told.where(F.col("list").isNotNull()).drop("link"), told.where(F.col("link").isNotNull()).select(F.col("class").alias("u"), F.col("link").alias("v"))
+            if level:
+                some = met.where((F.col("n") > FEW) & (F.col("n") <= GROUP)).select(F.col("list").alias("cell"), "class", F.col("role").alias("block"), F.lit(1).cast("long").alias("copies"))
+                new = new.unionAll(edges(searched(some, found.sets, num, den)))
         links = links.unionAll(new) if links else new
     return components(links).select(F.col("node").alias("class"), "component")
 

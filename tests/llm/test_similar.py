@@ -74,7 +74,7 @@ def joined(docs, *rule):
 
 @pytest.mark.parametrize("k,num,den,few,hot,levels", [(4, 85, 100, 16, 1 << 20, 6), (5, 4, 5, 2, 3, 1), (4, 1, 2, 2, 1 << 20, 6), (3, 1, 1, 2, 3, 2)])
 def test_join_equals_brute_force(spark, monkeypatch, k, num, den, few, hot, levels):
-    for name, value in (("FEW", few), ("BLOCK", 4), ("CHUNK", 3), ("HOT", hot), ("HOT_MEANS", 0), ("LEVELS", levels)):
+    for name, value in (("FEW", few), ("BLOCK", 4), ("CHUNK", 3), ("GROUP", few + 1), ("HOT", hot), ("HOT_MEANS", 0), ("LEVELS", levels)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies()
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, class string, shingle int")
@@ -102,7 +102,7 @@ def copies_of_copies(seed, n=150, words=120):
 
 @pytest.mark.parametrize("seed,few,levels", [(1, 4, 6), (3, 2, 2)])
 def test_large_groups_equal_brute_force(spark, monkeypatch, seed, few, levels):
-    for name, value in (("FEW", few), ("BLOCK", 16), ("CHUNK", 20), ("LEVELS", levels)):
+    for name, value in (("FEW", few), ("BLOCK", 16), ("CHUNK", 20), ("GROUP", 3 * few), ("LEVELS", levels)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = copies_of_copies(seed)
     got, _ = joined(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
@@ -235,5 +235,5 @@ def test_cut_texts(spark):
 
 def test_join_over_the_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    got = sorted((r["doc_id"], r["n_shingles"], r["n_links"], r["component_id"]) for r in ngram_join.op1_ngram_join(spark, SMALL).collect())
-    assert got == brute_join(rows, 4, 85, 100)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.op1_ngram_join(spark, SMALL).collect())
+    assert got == [(d, n, c) for d, n, _, c in brute_join(rows, 4, 85, 100)]
