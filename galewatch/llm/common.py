@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from galewatch.functions.bind import held
+
 #: What separates words everywhere in this subpackage: space and TAB to CR.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where the setting is missing (tests on one machine) a temporary folder stands in.
+    Where the setting is missing, a temporary folder stands in on a local master; elsewhere that is an error, since each
+    executor would write to a disk of its own. Nothing here removes the tables: who sets the folder clears it.
     """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = shared_dir.own = tempfile.mkdtemp(prefix="spark-")
     return root
 
@@ -54,35 +60,54 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
     """
     keys = [*group, bucket]
     sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    # As many rows in a group as there are buckets.
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_inside", F.sum(value).over(inside)).join(offsets, keys).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
+SPAN = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
+#: Characters of context on each side of a hit.
+CONTEXT = 24
+
+
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """For each name in `patterns` add array column `name` of struct<start:int, end:int, hit:string>.
+    """For each name in `patterns` add array column `name` of struct<start:int, end:int, hit, before, after:string>.
 
-    Leftmost non-overlapping matches with code-point positions, from built-in functions only: the pattern's
-    matches and the texts between them give the positions. Texts without a match are scanned once.
+    Leftmost non-overlapping matches with code-point positions, from built-in functions only: the pattern's matches and
+    the texts between them give the positions. before and after are up to CONTEXT characters of the text between a hit
+    and its neighbours. Positions are sums of three levels of blocks of about the cube root of n matches, so n matches
+    take some n ** (4/3) additions. Texts without a match are scanned once.
     """
-    block = 64
-    names = list(patterns)
-    keep = df.columns
-    df = df.select(*keep, *[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias(f"_h_{k}") for k, p in patterns.items()])
-    lengths = lambda k: F.when(F.size(f"_h_{k}") > 0, F.transform(F.split(F.col(text), patterns[k], -1), lambda g: F.length(g)))
-    df = df.select("*", *[lengths(k).alias(f"_g_{k}") for k in names])
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    df = df.select("*", *[F.zip_with(F.slice(f"_g_{k}", 1, F.size(f"_h_{k}")), F.transform(f"_h_{k}", F.length), lambda g, h: g + h).alias(f"_w_{k}") for k in names])
-    by_block = lambda k: F.when(F.size(f"_h_{k}") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(f"_h_{k}") - 1) / block).cast("int")), lambda b: total(F.slice(F.col(f"_w_{k}"), b * block + 1, F.lit(block)))))
-    df = df.select("*", *[by_block(k).alias(f"_b_{k}") for k in names])
-
-    def ends(k: str) -> Column:
-        at = lambda i: total(F.slice(F.col(f"_b_{k}"), F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(F.col(f"_w_{k}"), F.floor(i / block).cast("int") * block + 1, i % block + 1))
-        found = F.transform(F.col(f"_h_{k}"), lambda h, i: F.struct((at(i) - F.length(h)).alias("start"), at(i).alias("end"), h.alias("hit")))
-        return F.when(F.size(f"_h_{k}") > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    names, keep = list(patterns), df.columns
+    df = df.select(*keep, *[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias(f"_h_{k}") for k, p in patterns.items()])
 
-    return df.select(*keep, *[ends(k).alias(k) for k in names])
+    def sums(values: Column, size: Column) -> Column:
+        blocks = F.floor((F.size(values) - 1) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), blocks), lambda b: total(F.slice(values, b * size + 1, size)))
+
+    def ends(widths: Column, size: Column) -> Column:
+        whole = lambda xs, i: total(F.slice(xs, (i / size).cast("int") * size + 1, i % size))  # noqa: E731  the part of a block before i
+        at = lambda low, high, i: total(F.slice(high, F.lit(1), (i / size / size).cast("int"))) + whole(low, (i / size).cast("int")) + whole(widths, i) + F.get(widths, i)
+        return held(sums(widths, size), lambda low: held(sums(low, size), lambda high: F.transform(widths, lambda _, i: at(low, high, i))))
+
+    def spans(hits: Column, gaps: Column) -> Column:
+        size = F.ceil(F.cbrt(F.size(hits).cast("double"))).cast("int")
+        widths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+        context = F.transform(gaps, lambda g: F.struct(F.substring(g, -CONTEXT, CONTEXT).alias("last"), F.substring(g, 1, CONTEXT).alias("first")))
+        sides = held(context, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(hits)), F.slice(c, F.lit(2), F.size(hits)), lambda x, y: F.struct(x["last"].alias("before"), y["first"].alias("after"))))
+        places = held(widths, lambda w: ends(w, size))
+        told = F.zip_with(places, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
+        return F.zip_with(told, sides, lambda t, c: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["hit"].alias("hit"), c["before"].alias("before"), c["after"].alias("after")))
+
+    def found(k: str) -> Column:
+        hits = F.col(f"_h_{k}")
+        some = held(hits, lambda h: held(F.split(F.col(text), patterns[k], -1), lambda g: spans(h, g)))
+        return F.when(F.size(hits) > 0, some).otherwise(F.array().cast(SPAN))
+
+    return df.select(*keep, *[found(k).alias(k) for k in names])
 
 
 def joined_spans(spans: Column) -> Column:

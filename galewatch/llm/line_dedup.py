@@ -2,7 +2,7 @@
 
 A line is named by two 64-bit hashes of its trimmed text. Pages of a host that contain it, divided by the host's pages,
 give its boilerplate ratio; lines above the limit go from every page of that host. A line must be on MIN_ON pages, as one page
-repeats nothing; hosts of every size are treated alike. MIN_PAGES, a floor on a host's pages, is in the SQL only.
+repeats nothing; hosts of every size are treated alike.
 
 A host's dropped lines number at most its lines per page divided by the ratio, whatever its number of pages. They are
 written first, so that Spark broadcasts them only where their size is under its threshold and else splits hot hosts.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from galewatch.llm.common import stored, table
 
-RATIO, MIN_ON, MIN_PAGES = 0.2, 2, 20
+RATIO, MIN_ON = 0.2, 2
 BLANK = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
@@ -30,22 +30,22 @@ def name_of(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed(line)).alias("a"), F.xxhash64(F.lit(1), trimmed(line)).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = 1) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """host (not null), text -> host, dropped: array of line names."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: trimmed(x) != ""), name_of))
     found = pages.where(F.col("text").isNotNull()).select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("on"))
-    found = found.where((F.col("on") >= MIN_ON) & (F.col("on") > F.lit(ratio * min_pages)))
+    found = found.where(F.col("on") >= MIN_ON)
     return found.join(totals, "host").where(F.col("on") > F.col("pages") * ratio).groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
 
-def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = 1, keep_whole: bool = False) -> DataFrame:
+def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, keep_whole: bool = False) -> DataFrame:
     """All columns of pages, `text` without boilerplate lines, and _n_lines, _n_dropped.
 
     keep_whole: a page of nothing but boilerplate lines keeps them all.
     """
     named = pages.select(F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("host"), F.col(text).alias("text"))
-    lost = stored(boilerplate(named, ratio, min_pages), "boilerplate").withColumnRenamed("host", "_host")
+    lost = stored(boilerplate(named, ratio), "boilerplate").withColumnRenamed("host", "_host")
     # The page's own columns travel in one struct, so that none of them can clash with these.
     rows = pages.select(F.struct(*pages.columns).alias("_row"), F.col(text).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("_key")).join(lost, F.col("_key") == F.col("_host"), "left")
     lines = F.split("_text", "\n", -1)
@@ -84,8 +84,8 @@ WITH p AS (
 l AS (SELECT rid, page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p),
 b AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l),
 n AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-d AS (SELECT b.host, b.t FROM b JOIN n ON b.host IS NOT DISTINCT FROM n.host WHERE t <> '' AND n.pages >= {MIN_PAGES}
-      GROUP BY b.host, b.t, n.pages HAVING count(DISTINCT rid) > n.pages * {RATIO}::DOUBLE),
+d AS (SELECT b.host, b.t FROM b JOIN n ON b.host IS NOT DISTINCT FROM n.host WHERE t <> ''
+      GROUP BY b.host, b.t, n.pages HAVING count(DISTINCT rid) >= {MIN_ON} AND count(DISTINCT rid) > n.pages * {RATIO}::DOUBLE),
 k AS (SELECT b.rid, count(*) AS n_lines, count(*) FILTER (d.t IS NOT NULL) AS n_dropped, string_agg(b.line, chr(10) ORDER BY b.i) FILTER (d.t IS NULL) AS text
       FROM b LEFT JOIN d ON b.host IS NOT DISTINCT FROM d.host AND b.t = d.t GROUP BY b.rid)
 SELECT p.page_id, p.host, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped,

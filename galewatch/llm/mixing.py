@@ -4,7 +4,10 @@ Every copy of a document gets a virtual finish time: its source's running size i
 source's target. Copies are taken in the order of that time until the budget is used up, so every source advances
 evenly towards its target.
 
-Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order;
+A global sort isn't needed: sums by slot of virtual time tell in which slot the budget ends, and only that slot's copies
+are put in order. The result is that of the sort.
+
+Defined cases: a null text has size 0 and is never taken; a source without words has the target 0; a null source is a source of its own, last in order;
 repeated rows are documents of their own; equal finish times go by source order, and within a source by shuffled
 position; an empty table gives an empty mix; other columns are ignored.
 """
@@ -18,6 +21,13 @@ from galewatch.llm.common import n_words, running_total, stored, table, text_of
 
 EPOCHS = 3
 WEIGHTS = (5, 2, 1)
+#: Slots of a source's shuffled order and of virtual time: a slot holds n / MOST_SLOTS rows of a large corpus.
+MOST_SLOTS = 1 << 16
+
+
+def ordered(df: DataFrame, *order: Column) -> DataFrame:
+    """df, stored in range partitions of the given order, with their number as `range`; for running_total."""
+    return stored(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix_ranges")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -25,22 +35,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
     Weights repeat over the sources in code-point order, null last. The budget is the size of all sources. A target
     stops at `epochs` times its source's size and what is above is shared by weight among the others: the level at
-    which that ends is found from running sums over the sources in the order in which they reach their stop.
+    which that ends is found from running sums over the sources in the order in which they reach their stop. Sources
+    may be as many as hosts of a crawl: ranks and running sums are taken by range partition.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.select("source", "source_size", (F.row_number().over(by_name) - 1).alias("ord"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("ord") % len(weights) + 1)
-    ranked = ranked.withColumn("weight", weight).withColumn("stop", F.col("source_size") * float(epochs) / F.col("weight"))
-    before = Window.orderBy("stop", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("stop", "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    levels = ranked.select(
-        "*",
-        F.sum("source_size").over(whole).alias("budget"),
-        ((F.sum("source_size").over(whole).cast("double") - zero(F.sum(F.col("source_size") * float(epochs)).over(before))) / (F.sum("weight").over(whole) - zero(F.sum("weight").over(before)))).alias("level"),
-    )
-    first = F.min_by(F.when(F.col("level") <= F.col("stop"), F.col("level")), F.when(F.col("level") <= F.col("stop"), F.struct("stop", "ord"))).over(Window.orderBy("stop", "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return levels.withColumn("level", first).select("ord", "source", "source_size", F.least(F.col("source_size") * float(epochs), F.col("weight") * F.coalesce("level", F.lit(0.0))).alias("target"), "budget")
+    by_name = [F.col("source").isNull(), F.col("source")]
+    ranked = running_total(ordered(sizes.select("source", "source_size", F.lit(1).alias("one")), *by_name), [], "range", by_name, "one", "ord").withColumn("ord", F.col("ord") - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("ord") % len(weights) + 1).cast("int"))
+    most = F.col("source_size") * float(epochs)
+    ranked = ranked.select("source", "source_size", "ord", weight.alias("weight")).withColumn("most", most).withColumn("stop", F.col("most") / F.col("weight"))
+    by_stop = [F.col("stop"), F.col("ord")]
+    ranked = ordered(ranked, *by_stop)
+    budget, weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    for value in ("most", "weight"):
+        ranked = running_total(ranked, [], "range", by_stop, value, f"{value}_upto")
+    # Sums of sizes and weights are whole numbers, so doubles hold them exactly and the order of addition is free.
+    level = (F.lit(float(budget or 0)) - (F.col("most_upto") - F.col("most"))) / (F.lit(weight or 0.0) - (F.col("weight_upto") - F.col("weight")))
+    reached = F.when(level <= F.col("stop"), F.struct("stop", "ord"))
+    level = ranked.agg(F.min_by(level, reached)).first()[0] or 0.0
+    return ranked.select("ord", "source", "source_size", F.least(F.col("most"), F.col("weight") * F.lit(level)).alias("target"), F.lit(budget or 0).cast("long").alias("budget"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
@@ -53,13 +65,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     base = stored(sized.withColumn("key", key), "mix_sizes")
     spark = docs.sparkSession
-    buckets = max(32, base.count() // 20_000)
+    buckets = min(MOST_SLOTS, max(32, base.count() // 20_000))
     plan = stored(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs), "mix_targets")
     share = F.conv(F.substring("key", 1, 7), 16, 10).cast("double") / float(16**7)
     rows = base.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("bucket", F.floor(share * buckets).cast("int"))
     rows = stored(running_total(rows, ["ord"], "bucket", [F.col("key"), F.col("doc_id"), F.col("size"), F.col("text_hash")], "size", "cum"), "mix_order")
     # In a source, equal positions differ at most in empty documents, which take nothing either way.
-    finish = lambda e: (e * F.col("source_size") + F.col("cum")) / F.col("target")
+    # A source without words has the target 0 and no finish times.
+    finish = lambda e: F.try_divide((e * F.col("source_size") + F.col("cum")).cast("double"), F.col("target"))
     copies = rows.where((F.col("size") > 0) & (F.col("target") > 0)).select("ord", "size", F.explode(F.array(*[finish(F.lit(e)) for e in range(epochs)])).alias("finish"))
     slot = lambda f: F.floor(F.least(f, F.lit(4.0)) * buckets).cast("int")
     # Sums by slot of virtual time tell in which slot the budget ends; only that slot's copies have to be put in order.
@@ -76,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
         taken = lambda f: (slot(f) < cut["slot"]) | ((slot(f) == cut["slot"]) & (F.struct(f.alias("finish"), F.col("ord").cast("int").alias("ord")) <= stop))
     usable = (F.col("size") > 0) & (F.col("target") > 0)
     times = sum((F.when(usable & taken(finish(F.lit(e))), 1).otherwise(0) for e in range(epochs)), F.lit(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("epochs_taken"), (times * F.col("size")).cast("long").alias("taken"), F.when(F.col("target") > 0, finish(F.lit(0))).alias("finish"), "text_hash")
+    return rows.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("epochs_taken"), (times * F.col("size")).cast("long").alias("taken"), finish(F.lit(0)).alias("finish"), "text_hash")
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
@@ -90,7 +103,7 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 ORACLE = r"""
@@ -112,6 +125,7 @@ c AS (SELECT b.*, g.ord, g.source_size, g.budget, g.target, sum(size) OVER (PART
 e AS (SELECT c.*, k.k, CAST(k.k * source_size + cum AS DOUBLE) / target AS finish FROM c, (VALUES (0), (1), (2)) k(k) WHERE size > 0 AND target > 0),
 o AS (SELECT *, sum(size) OVER (ORDER BY finish, ord ROWS UNBOUNDED PRECEDING) AS total FROM e),
 n AS (SELECT doc_id, key, count(*) AS times FROM o WHERE total <= budget GROUP BY doc_id, key)
-SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(n.times, 0) * c.size AS BIGINT) AS taken
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(n.times, 0) * c.size AS BIGINT) AS taken,
+  CASE WHEN c.target > 0 THEN CAST(c.cum AS DOUBLE) / c.target END AS finish
 FROM c LEFT JOIN n ON c.doc_id IS NOT DISTINCT FROM n.doc_id
 """

@@ -10,6 +10,8 @@ blob's findings; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,6 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     Without one, the ledger starts empty in the shared folder. A run that is repeated adds nothing.
     """
     spark = docs.sparkSession
-    import uuid
-
     path = ledger or f"{shared_dir(spark).rstrip('/')}/galewatch-{uuid.uuid4().hex}/ledger"
     schema = f"blob string, rule_version string, findings array<{FINDING}>"
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("blob", F.sha2("text", 256))
@@ -62,7 +62,7 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
         seen = spark.read.schema(schema).parquet(path).where(F.col("rule_version") == RULE_VERSION)
         picked = picked.join(seen.select("blob"), "blob", "left_anti")
     picked = picked.withColumnRenamed("blob", "_blob")
-    texts = rows.join(picked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("blob") == F.col("_blob")), "left_semi")
+    texts = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("blob") == F.col("_blob")), "left_semi")
     # Repeated rows of one document give the same blob more than once: the findings are the same, one row stays.
     scan_blobs(texts).groupBy("blob", "rule_version").agg(F.first("findings").alias("findings")).write.mode("append").parquet(path)
     known = spark.read.schema(schema).parquet(path).where(F.col("rule_version") == RULE_VERSION).select("blob", "findings")

@@ -1,8 +1,10 @@
 """URL filters by a temporal list join (built-in functions only).
 
 A list is a dated history of entries: on a date a pattern is added to a list or taken off it. Each pattern's history
-becomes validity intervals, gathered to one row per pattern. A capture proposes the patterns that could cover it (its
-host, the parent domains, and host with the first path segment); the as-of join looks each of them up and asks whether
+becomes validity intervals, gathered to one row per pattern. A pattern is a host, alone or with a path of whole segments;
+it covers the host and all below it, and the path and all below it. Hosts are compared in lower case, paths as they are.
+A capture proposes every pattern that could cover it: its host and each parent domain, alone and with every prefix of
+its path; the as-of join looks each of them up and asks whether
 an interval holds at fetch time. So a join finds one row per pattern at most, and hot hosts are split by Spark's
 skew join or meet a broadcast side whose size Spark has checked.
 
@@ -19,13 +21,15 @@ from pyspark.sql import functions as F
 from galewatch.llm.common import table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-FIRST_SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)"
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+((?:/[^/?#]+)*)"
+PATTERN = r"^([^/]*)((?:/[^/?#]+)*)"
 
 
 def validity(entries: DataFrame) -> DataFrame:
     """pattern, list, action ('add' or 'remove'), at -> pattern, spans array<struct<list, since, until>>; until is
     exclusive, null where still valid."""
-    told = entries.where(F.col("pattern").isNotNull() & F.col("at").isNotNull()).groupBy(F.lower("pattern").alias("pattern"), "list", "at").agg(F.min(F.col("action") == "add").alias("on"))
+    normal = F.concat(F.lower(F.regexp_extract("pattern", PATTERN, 1)), F.regexp_extract("pattern", PATTERN, 2))
+    told = entries.where(F.col("pattern").isNotNull() & F.col("at").isNotNull()).groupBy(normal.alias("pattern"), "list", "at").agg(F.min(F.col("action") == "add").alias("on"))
     step = Window.partitionBy("pattern", "list").orderBy("at")
     told = told.withColumn("was", F.coalesce(F.lag("on").over(step), F.lit(False))).where(F.col("on") != F.col("was"))
     spans = told.select("pattern", "list", F.col("at").alias("since"), "on", F.lead("at").over(step).alias("until")).where("on")
@@ -34,10 +38,13 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """id, url, fetched_at (timestamp) -> id, url, fetched_at, lists (sorted names that hold then), blocked."""
-    rows = captures.select("id", "url", "fetched_at", F.lower(F.regexp_extract("url", HOST, 1)).alias("_host"), F.lower(F.regexp_extract("url", FIRST_SEGMENT, 1)).alias("_path"))
+    rows = captures.select("id", "url", "fetched_at", F.lower(F.regexp_extract("url", HOST, 1)).alias("_host"), F.regexp_extract("url", PATH, 1).alias("_path"))
     labels = F.split("_host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    proposed = F.when(F.coalesce(F.col("_host"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.when(F.col("_path") != "", F.array(F.concat("_host", "_path"))).otherwise(F.array().cast("array<string>")))))
+    segments = F.split("_path", "/")  # the first is empty: the whole host
+    paths = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.array_join(F.slice(segments, 1, i), "/"))
+    proposed = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda q: F.concat(d, q))))
+    proposed = F.when(F.coalesce(F.col("_host"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(proposed))
     rows = rows.withColumn("_patterns", proposed)
     # Looked up by distinct (pattern, fetch time), and joined back by capture only where something holds.
     asked = rows.select("url", "fetched_at", F.explode("_patterns").alias("pattern")).distinct()
@@ -60,23 +67,29 @@ def op7_url_filter(spark, sf_dir: str) -> DataFrame:
     one = hosts.where(draw("list", 4) == 0).select(F.col("host").alias("pattern"), F.lit("spam").alias("list"), draw("add", 200).alias("d"), draw("stay", 120).alias("n"))
     two = hosts.where(draw("path", 3) == 0).select(F.concat("host", F.lit("/de")).alias("pattern"), F.lit("adult").alias("list"), draw("add2", 300).alias("d"), draw("stay2", 60).alias("n"))
     three = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("host")).where("host <> ''").distinct().where(draw("parent", 5) == 0).select(F.col("host").alias("pattern"), F.lit("malware").alias("list"), draw("add3", 250).alias("d"), draw("stay3", 90).alias("n"))
-    both = one.unionByName(two).unionByName(three)
+    deep = pages.select(F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), F.regexp_extract("url", PATH, 1).alias("path")).where("host <> '' and path like '/_%/_%'")
+    deep = deep.select(F.concat(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1), F.col("path")).alias("host")).where("host not like '/%'").distinct()
+    four = deep.where(draw("deep", 3) == 0).select(F.col("host").alias("pattern"), F.lit("scam").alias("list"), draw("add4", 250).alias("d"), draw("stay4", 110).alias("n"))
+    both = one.unionByName(two).unionByName(three).unionByName(four)
     entries = both.select("pattern", "list", F.lit("add").alias("action"), day(F.col("d")).alias("at")).unionByName(both.select("pattern", "list", F.lit("remove").alias("action"), day(F.col("d") + F.col("n") + 1).alias("at")))
     return filter_urls(captures, entries).select(F.col("id").alias("page_id"), F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), F.array_join("lists", ",").alias("lists"), "blocked")
 
 
 ORACLE = rf"""
 WITH p AS (SELECT page_id, url, TIMESTAMP '{START}' + to_days(CAST((page_id * 7919) % 366 AS INTEGER)) AS fetched_at, lower(regexp_extract(url, '{HOST}', 1)) AS host,
-                  lower(regexp_extract(url, '{FIRST_SEGMENT}', 1)) AS path FROM pages),
+                  regexp_extract(url, '{PATH}', 1) AS path FROM pages),
 h AS (SELECT DISTINCT host FROM p WHERE host <> ''),
 q AS (SELECT DISTINCT regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) AS host FROM h WHERE regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) <> ''),
+w AS (SELECT DISTINCT regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) || path AS host FROM p WHERE path LIKE '/_%/_%' AND regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) <> ''),
 e AS (
   SELECT host AS pattern, 'spam' AS list, ('0x' || md5('add' || host)[1:7])::BIGINT % 200 AS d, ('0x' || md5('stay' || host)[1:7])::BIGINT % 120 AS n FROM h WHERE ('0x' || md5('list' || host)[1:7])::BIGINT % 4 = 0
   UNION ALL SELECT host || '/de', 'adult', ('0x' || md5('add2' || host)[1:7])::BIGINT % 300, ('0x' || md5('stay2' || host)[1:7])::BIGINT % 60 FROM h WHERE ('0x' || md5('path' || host)[1:7])::BIGINT % 3 = 0
-  UNION ALL SELECT host, 'malware', ('0x' || md5('add3' || host)[1:7])::BIGINT % 250, ('0x' || md5('stay3' || host)[1:7])::BIGINT % 90 FROM q WHERE ('0x' || md5('parent' || host)[1:7])::BIGINT % 5 = 0),
-v AS (SELECT pattern, list, TIMESTAMP '{START}' + to_days(CAST(d AS INTEGER)) AS since, TIMESTAMP '{START}' + to_days(CAST(d + n + 1 AS INTEGER)) AS until FROM e),
+  UNION ALL SELECT host, 'malware', ('0x' || md5('add3' || host)[1:7])::BIGINT % 250, ('0x' || md5('stay3' || host)[1:7])::BIGINT % 90 FROM q WHERE ('0x' || md5('parent' || host)[1:7])::BIGINT % 5 = 0
+  UNION ALL SELECT host, 'scam', ('0x' || md5('add4' || host)[1:7])::BIGINT % 250, ('0x' || md5('stay4' || host)[1:7])::BIGINT % 110 FROM w WHERE ('0x' || md5('deep' || host)[1:7])::BIGINT % 3 = 0),
+v AS (SELECT split_part(pattern, '/', 1) AS host, regexp_extract(pattern, '^[^/]*(.*)$', 1) AS path, list,
+             TIMESTAMP '{START}' + to_days(CAST(d AS INTEGER)) AS since, TIMESTAMP '{START}' + to_days(CAST(d + n + 1 AS INTEGER)) AS until FROM e),
 m AS (SELECT DISTINCT p.page_id, v.list FROM p JOIN v ON p.fetched_at >= v.since AND p.fetched_at < v.until
-      AND (p.host = v.pattern OR (v.pattern NOT LIKE '%/%' AND ends_with(p.host, '.' || v.pattern)) OR p.host || p.path = v.pattern)),
+      AND (p.host = v.host OR ends_with(p.host, '.' || v.host)) AND (v.path = '' OR p.path = v.path OR starts_with(p.path, v.path || '/'))),
 g AS (SELECT page_id, string_agg(list, ',' ORDER BY list) AS lists FROM m GROUP BY page_id)
 SELECT p.page_id, CAST(CAST(p.fetched_at AS DATE) AS VARCHAR) AS fetched_on, coalesce(g.lists, '') AS lists, g.lists IS NOT NULL AS blocked FROM p LEFT JOIN g ON p.page_id = g.page_id
 """

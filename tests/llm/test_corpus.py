@@ -65,6 +65,42 @@ def test_mix_reaches_targets(spark):
     assert mixing.mix(docs.where("false")).count() == 0 and mixing.repeated(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("case", ["no words", "one source", "one long text", "many sources"])
+def test_mix_of_odd_sources(spark, case):
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 3}") for i in range(60)]
+    if case == "no words":
+        rows += [(100 + i, t, s) for i, (t, s) in enumerate([(None, "zero"), ("", "zero"), (None, None), (" ", "s1"), (None, "a")])]
+    elif case == "one source":
+        rows = [(i, t, "only") for i, t, _ in rows]
+    elif case == "one long text":
+        rows.append((100, "w " * 5000, "s1"))
+    else:
+        rows = [(i, "w " * (i % 9 + 1), f"host{i % 4000}") for i in range(6000)]
+    size = lambda t: len((t or "").split())
+    sizes, taken, most = defaultdict(int), Counter(), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += size(t)
+        most[s] = max(most[s], size(t))
+    want = plain_targets(sizes)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["taken"] <= EPOCHS * r["size"] and (r["finish"] is None) == (want[r["source"]] == 0)
+        taken[r["source"]] += r["taken"]
+    assert sum(sizes.values()) - max(most.values()) < sum(taken.values()) <= sum(sizes.values())
+    if case != "many sources":
+        assert all(abs(taken[s] - want[s]) <= 2 * max(most.values()) for s in sizes)
+
+
+def test_mix_with_equal_finish_times(spark):
+    rows = [(i, "a b c", s) for i in range(8) for s in ("x", "y", "z", "w", "v", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1,)).collect()
+    assert {r["target"] for r in got} == {24.0} and len({r["finish"] for r in got}) == 8
+    assert all(r["epochs_taken"] == 1 for r in got)
+    assert sorted(map(str, mixing.mix(docs.repartition(5), weights=(1,)).collect())) == sorted(map(str, got))
+
+
 def plain_padding(histogram, ends):
     return sum(n * (min(e for e in ends if e >= x) - x) for x, n in histogram.items())
 
@@ -112,7 +148,7 @@ def test_packing(spark):
     assert packing.pack(docs.where("doc_id = 1007")).collect()[0]["batch"] is None
 
 
-def plain_lines(rows, ratio, least, whole):
+def plain_lines(rows, ratio, whole):
     """(site, text) -> text without boilerplate."""
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
     pages, on = Counter(s for s, _ in rows), Counter()
@@ -123,7 +159,7 @@ def plain_lines(rows, ratio, least, whole):
         if t is None:
             out.append(None)
             continue
-        keep = [x for x in t.split("\n") if not strip(x) or pages[s] < least or on[s, strip(x)] <= ratio * pages[s]]
+        keep = [x for x in t.split("\n") if not strip(x) or on[s, strip(x)] < 2 or on[s, strip(x)] <= ratio * pages[s]]
         out.append(t if whole and not any(map(strip, keep)) else "\n".join(keep))
     return out
 
@@ -134,17 +170,17 @@ def test_line_dedup(spark, whole):
     rows = [(rng.choice(["a", "a", "b", None, ""]), "\n".join(rng.choice(["menu", " menu\r", "", "own %d" % rng.randrange(10**6), "rare %d" % rng.randrange(30)]) for _ in range(rng.randrange(1, 6)))) for _ in range(200)]
     rows += [("a", None), ("a", ""), ("small", "menu"), ("a", "menu\nmenu")]
     df = spark.createDataFrame([(i, s, t, "z", [1]) for i, (s, t) in enumerate(rows)], "id int, site string, text string, host string, dropped array<int>")
-    got = {r["id"]: r["text"] for r in line_dedup.drop_lines(df, "site", "text", 0.2, 20, whole).collect()}
-    assert [got[i] for i in range(len(rows))] == plain_lines(rows, 0.2, 20, whole)
+    got = {r["id"]: r["text"] for r in line_dedup.drop_lines(df, "site", "text", 0.2, whole).collect()}
+    assert [got[i] for i in range(len(rows))] == plain_lines(rows, 0.2, whole)
     assert line_dedup.drop_lines(df.where("false"), "site", "text").count() == 0
 
 
 def test_url_filter(spark):
     day = lambda d: datetime(2024, 1, d)
-    entries = [("Bad.example", "spam", "add", day(2)), ("bad.example", "spam", "remove", day(5)), ("bad.example", "spam", "add", day(8)), ("bad.example", "adult", "add", day(4)), ("ok.example/x", "spam", "add", day(1)), ("tie.example", "spam", "add", day(1)), ("tie.example", "spam", "remove", day(1)), (None, "spam", "add", day(1)), ("n.example", "spam", "add", None)]
-    captures = [("https://www.BAD.example:80/p?q", day(1)), ("https://www.bad.example/p", day(2)), ("http://bad.example", day(5)), ("http://bad.example", day(9)), ("http://notbad.example", day(9)), ("http://ok.example/x/y", day(3)), ("http://ok.example/xy", day(3)), ("http://tie.example", day(3)), (None, day(3)), ("bad.example", day(3)), ("http://bad.example", None), ("http://n.example/", day(3))]
+    entries = [("Bad.example", "spam", "add", day(2)), ("bad.example", "spam", "remove", day(5)), ("bad.example", "spam", "add", day(8)), ("bad.example", "adult", "add", day(4)), ("ok.example/x", "spam", "add", day(1)), ("tie.example", "spam", "add", day(1)), ("tie.example", "spam", "remove", day(1)), (None, "spam", "add", day(1)), ("n.example", "spam", "add", None), ("Deep.example/a/B", "scam", "add", day(1))]
+    captures = [("https://www.BAD.example:80/p?q", day(1)), ("https://www.bad.example/p", day(2)), ("http://bad.example", day(5)), ("http://bad.example", day(9)), ("http://notbad.example", day(9)), ("http://ok.example/x/y", day(3)), ("http://ok.example/xy", day(3)), ("http://tie.example", day(3)), (None, day(3)), ("bad.example", day(3)), ("http://bad.example", None), ("http://n.example/", day(3)), ("http://www.deep.example/a/B/c?d", day(3)), ("http://deep.example/a/b", day(3)), ("http://deep.example/a", day(3)), ("http://www.ok.example/x", day(3))]
     got = url_filter.filter_urls(spark.createDataFrame([(i, u, t, "x") for i, (u, t) in enumerate(captures)], "id int, url string, fetched_at timestamp, pattern string"), spark.createDataFrame(entries, "pattern string, list string, action string, at timestamp"))
-    assert {r["id"]: r["lists"] for r in got.collect()} == dict(enumerate([[], ["spam"], ["adult"], ["adult", "spam"], [], ["spam"], [], [], [], [], [], []]))
+    assert {r["id"]: r["lists"] for r in got.collect()} == dict(enumerate([[], ["spam"], ["adult"], ["adult", "spam"], [], ["spam"], [], [], [], [], [], [], ["scam"], [], [], ["spam"]]))
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
@@ -165,7 +201,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
     kept = [r for r in rows if plain_quality(r[1])[-1]]
     assert sorted(r["doc_id"] for r in seen[0]) == sorted(r[0] for r in kept) and len(kept) < len(rows)
-    cut = plain_lines([(r[3], r[1]) for r in kept], 0.1, line_dedup.MIN_PAGES, True)
+    cut = plain_lines([(r[3], r[1]) for r in kept], 0.1, True)
     assert {(r["doc_id"], r["text"], r["n_chars"]) for r in seen[1]} == {(r[0], t, len(t) if t != r[1] else r[4]) for r, t in zip(kept, cut)}
     assert any(t != r[1] for r, t in zip(kept, cut))
     joined = brute_join([(r[0], t) for r, t in zip(kept, cut)], 5, 4, 5)

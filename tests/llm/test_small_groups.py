@@ -16,9 +16,7 @@ def test_lines_of_small_hosts(spark):
 
 
 def test_line_query_over_all_hosts(spark):
-    # The registered SQL leaves out small hosts; this is the same SQL with the floor on the line in place of it.
-    sql = line_dedup.ORACLE.replace(f"n.pages >= {line_dedup.MIN_PAGES}", "true").replace("HAVING count(DISTINCT rid) >", f"HAVING count(DISTINCT rid) >= {line_dedup.MIN_ON} AND count(DISTINCT rid) >")
-    assert same(spark, SMALL, line_dedup.op5_line_dedup, sql) > 0
+    assert same(spark, SMALL, line_dedup.op5_line_dedup, line_dedup.ORACLE) > 0
 
 
 def test_lines_of_a_small_source_in_the_pipeline(spark):

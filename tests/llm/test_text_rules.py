@@ -68,9 +68,86 @@ def test_personal_data_base_spans(spark):
     assert pii.find_pii(frame(spark).where("false")).count() == 0
 
 
+PII_TEXTS = [
+    "please mail bob [at] post3 [dot] org or call (509) 555-6973 today", "order 509-555-6973 shipped", "see section 4.2.7 of version 1.2.300.4", "müller.24@büro4.example.com wrote", "contact: señor.5@mail1.com",
+    "Des +1 (826) 555-4081 190.137.223.204 du", "the server is 10[.]20[.]30[.]40.", "login from 2001:0db8:85a3:0000:0000:8a2e:0370:7334 ok", "my card number is 4111.1111.1111.1112, thanks", "invoice no. 4111111111111112 paid", "release 10[.]20[.]3000[.]40", None,
+]
+
+
+def plain_features(kind, text, start, end, left, right):
+    """The features of a span; left and right: where the neighbouring hits of its generator end and start."""
+    hit, before, after = text[start:end], text[max(left, start - 24) : start], text[end : min(right, end + 24)]
+    digits = re.sub("[^0-9]", "", hit)
+    return [
+        len(hit), len(digits), len(re.sub("[^A-Za-z]", "", hit)), len(re.sub(r"[^\x20().-]", "", hit)), len(re.split("[^0-9]+", hit)), int(digits[0]) if digits else -1, sum(ord(c) > 127 for c in hit), hit[0] == "+",
+        bool(re.search(pii.CUES[kind], before)), bool(re.search(pii.DECOYS, before)), before == "" or bool(re.search(r"[\s:;,(\"'<>]\Z", before)), after == "" or bool(re.search(r"^[\s:;,.!?)\"'<>]", after)), pii.KINDS.index(kind),
+    ]
+
+
+def plain_spans(text, model, limits):
+    """All spans of a text: base ones, and open ones that the model takes."""
+    import regex
+    from pyspark.ml.linalg import Vectors
+
+    base = base_pii(text)
+    out = set(base)
+    for rank, kind in enumerate(KINDS):
+        for pattern in (pii.BASE[kind], pii.LOOSE[kind]):
+            hits = [m.span() for m in regex.finditer(pattern, text)]
+            for i, (start, end) in enumerate(hits):
+                if (start, rank, kind, end) in out or any(s <= start and end <= e for s, _, _, e in base) or (kind == "card" and not 12 <= len(re.sub("[^0-9]", "", text[start:end])) <= 19):
+                    continue
+                told = plain_features(kind, text, start, end, hits[i - 1][1] if i else 0, hits[i + 1][0] if i + 1 < len(hits) else len(text))
+                if kind in limits and model.predictProbability(Vectors.dense([float(x) for x in told]))[1] >= limits[kind]:
+                    out.add((start, rank, kind, end))
+    return sorted(out)
+
+
+def test_added_spans_equal_brute_force(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(pii, "fitted", lambda rows, fit=pii.fitted: kept.append(fit(rows)) or kept[-1])
+    texts = PII_TEXTS + TEXTS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: sorted((s["start"], s["rank"], s["kind"], s["end"]) for s in r["spans"]) for r in pii.find_pii(docs).collect()}
+    model, limits, report = kept[0]
+    assert set(limits) == set(KINDS)
+    for i, t in enumerate(texts):
+        assert got[i] == plain_spans(t or "", model, limits), t
+    more = {t: [(k, t[s:e]) for s, _, k, e in got[i] if (s, KINDS_RANK[k], k, e) not in base_pii(t)] for i, t in enumerate(texts) if t}
+    assert more[PII_TEXTS[0]] == [("email", "bob [at] post3 [dot] org"), ("phone", "(509) 555-6973")]
+    assert more[PII_TEXTS[1]] == more[PII_TEXTS[2]] == more[PII_TEXTS[9]] == more[PII_TEXTS[10]] == []
+    assert ("email", "müller.24@büro4.example.com") in more[PII_TEXTS[3]] and ("phone", "+1 (826) 555-4081") in more[PII_TEXTS[5]]
+    assert ("ip", "10[.]20[.]30[.]40") in more[PII_TEXTS[6]] and ("card", "4111.1111.1111.1112") in more[PII_TEXTS[8]]
+    for kind, part, limit, rows, precision, recall in report:
+        if part == "examples":
+            assert rows >= 100 and precision >= pii.PRECISION and recall >= 0.8, kind
+
+
+KINDS_RANK = {k: i for i, k in enumerate(KINDS)}
+
+
 def test_redaction(spark):
     out = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark).select("doc_id", "text").where("doc_id = 5 or doc_id = 0")).collect()}
     assert out[0] == "" and out[5].startswith("[ip] [ip]")
+    rows = [(1, "mail a@b.cc"), (1, "host 1.2.3.4"), (1, "host 1.2.3.4"), (None, "é a@b.cc, +49 (30) 123-4567!"), (2, None), (3, "none"), (4, "a@1.2.3.4 x")]
+    got = sorted((str(r[0]), r[1]) for r in pii.redact(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kind string")).collect())
+    assert got == sorted([("1", "mail [email]"), ("1", "host [ip]"), ("1", "host [ip]"), ("None", "é [email], [phone]!"), ("2", ""), ("3", "none"), ("4", "[email] x")])
+
+
+@pytest.mark.parametrize("find", ["pii", "secrets"])
+def test_a_text_of_many_hits(spark, find):
+    import time
+
+    n = 100_000
+    text = ("1.2.3.4 " if find == "pii" else "token=abcdef ") * n
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    if find == "pii":
+        spans = pii.proposals(docs).collect()[0]["base"]
+    else:
+        spans = secret_scan.scan(docs).collect()[0]["findings"]
+    assert time.perf_counter() - began < 60
+    assert len(spans) == n and spans[-1]["end"] == len(text) - 1
 
 
 def test_secret_base_spans_and_ledger(spark, tmp_path):
@@ -88,6 +165,26 @@ def test_secret_base_spans_and_ledger(spark, tmp_path):
     assert secret_scan.scan(frame(spark).where("false"), str(tmp_path / "none")).count() == 0
 
 
+def test_provider_spans_and_a_new_rule_version(spark, tmp_path, monkeypatch):
+    text, ledger = TEXTS[14], str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "é sk_live_" + "b" * 24 + ", sk_live_short")], "doc_id long, text string")
+    own = lambda t, s, base: (s["kind"], t[s["start"] : s["end"]], s["base"]) == ("access", t[s["start"] : s["end"]], base)
+    texts = {1: text, 2: text, 3: "é sk_live_" + "b" * 24 + ", sk_live_short"}
+    got = {r["doc_id"]: sorted(texts[r["doc_id"]][s["start"] : s["end"]] for s in r["findings"] if own(texts[r["doc_id"]], s, False)) for r in secret_scan.scan(docs, ledger).collect()}
+    keys = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36]
+    assert got == {1: keys, 2: keys, 3: ["sk_live_" + "b" * 24]}
+    assert spark.read.parquet(ledger).count() == 2
+    scanned = []
+    monkeypatch.setattr(secret_scan, "scan_blobs", lambda blobs, scan=secret_scan.scan_blobs: scanned.append(blobs.count()) or scan(blobs))
+    secret_scan.scan(docs, ledger)
+    assert scanned == [0]  # nothing is unseen
+    monkeypatch.setattr(secret_scan, "RULE_VERSION", "next")
+    monkeypatch.setattr(secret_scan, "MORE", {"provider": "short"})
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["findings"] if not s["base"]] for r in secret_scan.scan(docs, ledger).collect()}
+    assert scanned == [0, 2] and got == {1: [], 2: [], 3: ["short"]}  # every blob again under the new version, old findings unused
+    assert {(r["rule_version"], r["count"]) for r in spark.read.parquet(ledger).groupBy("rule_version").count().collect()} == {("2", 2), ("next", 2)}
+
+
 def digest(spans):
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in spans).encode()).hexdigest()
 
