@@ -93,7 +93,7 @@ def dedupe_ordered(spark, sf_dir):
 
 
 @query(f"""WITH {SITE_DIM}, e AS (SELECT event_id, upper(event_type) || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS filename, ts FROM events)
-SELECT event_id, filename, CASE WHEN length(filename) < 4 THEN NULL ELSE substr(filename, 1, 4) END AS upload_site, upper(event_id::VARCHAR) AS said FROM e WHERE event_id % 3 = 0""")
+SELECT event_id, filename, CASE WHEN length(filename) < 4 THEN NULL ELSE substr(filename, 1, 4) END AS upload_site, upper(event_id::VARCHAR) AS said FROM e""")
 def upload_site(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     name = F.concat(F.upper("event_type"), F.lit("_"), F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd_HHmmss"))
@@ -150,7 +150,7 @@ def _rays(g: DataFrame) -> DataFrame:
     return own.select("scan_key", "ray_idx", gates.alias("g")).select("scan_key", "ray_idx", F.col("g.dbz").alias("dbz"), F.col("g.vel").alias("vel"))
 
 
-@query(f"""WITH RECURSIVE {SWEEP_GATES}, g AS (SELECT sweep_id, ray_idx, gate_idx, dbz, ray_idx * 40 + gate_idx AS p FROM sweep_gates WHERE dbz >= 60.0::DOUBLE),
+@query(f"""WITH RECURSIVE {SWEEP_GATES}, g AS (SELECT sweep_id, ray_idx, gate_idx, dbz, ray_idx * 40 + gate_idx AS p FROM sweep_gates WHERE dbz >= 40.0::DOUBLE),
 e AS (SELECT a.sweep_id, a.p AS a, b.p AS b FROM g a JOIN g b ON a.sweep_id = b.sweep_id AND abs(a.ray_idx - b.ray_idx) + abs(a.gate_idx - b.gate_idx) = 1),
 reach AS (SELECT sweep_id, p, p AS q FROM g UNION SELECT r.sweep_id, r.p, e.b FROM reach r JOIN e ON r.sweep_id = e.sweep_id AND r.q = e.a),
 root AS (SELECT sweep_id, p, min(q) AS r FROM reach GROUP BY 1, 2),
@@ -181,7 +181,7 @@ def azimuthal_shear(spark, sf_dir):
 
 
 @query(f"""WITH {CAND}, r AS (SELECT i, CAST((i * 17) % 360 AS DOUBLE) AS a FROM (SELECT unnest(range(0, 72)) AS i)),
-u AS (SELECT event_id, i, az_deg, az_deg + (((a - az_deg + 180.0::DOUBLE) % 360.0::DOUBLE + 360.0::DOUBLE) % 360.0::DOUBLE) - 180.0::DOUBLE AS u FROM cand, r WHERE event_id % 4 = 0)
+u AS (SELECT event_id, i, az_deg, az_deg + (((a - az_deg + 180.0::DOUBLE) % 360.0::DOUBLE + 360.0::DOUBLE) % 360.0::DOUBLE) - 180.0::DOUBLE AS u FROM cand, r)
 SELECT event_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY u, i) AS rays FROM u WHERE u BETWEEN az_deg - 30.0::DOUBLE AND az_deg + 30.0::DOUBLE GROUP BY event_id""")
 def azimuth_window(spark, sf_dir):
     azimuths = F.array(*[F.lit(float(i * 17 % 360)) for i in range(72)])

@@ -5,22 +5,16 @@ Each one reads the table as a file stream with availableNow, so a run covers the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galewatch.plans.radar_queries import CONFIG, query
-from galewatch.plans.views import attempts, candidates, read, scans
+from galewatch.plans.radar_queries import CONFIG, _activity_sql, query
+from galewatch.plans.views import attempts, candidates, read, scans, shared_dir
 from galewatch.streaming import dedup, schedule, tracker
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where a session names none, as in tests, a temporary one."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-
-
 def finished(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
     """Writes rows where a stream can read them, runs make(stream) with availableNow, returns its output."""
     root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -42,7 +36,6 @@ def stream_tracker(spark, sf_dir):
     return finished(spark, scans(candidates(spark, sf_dir)), lambda s: tracker.stream(s, CONFIG)).select("site", "scan_time", "cand_idx", "cell_id", "track_id", "status", "hits_in_window", "window_size", "newly_confirmed")
 
 
-@query()
+@query(_activity_sql())
 def stream_schedule(spark, sf_dir):
-    """Tested for equality with activity_state."""
     return finished(spark, attempts(spark, sf_dir), lambda s: schedule.stream(s, CONFIG))

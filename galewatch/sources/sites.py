@@ -93,7 +93,7 @@ def volume_coordinates(volumes: DataFrame, sites: DataFrame) -> DataFrame:
     dim = sites.select(F.col("site_id").alias("site"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     blank = (F.abs("lat") < 1.0) & (F.abs("lon") < 1.0) & F.col("_lat").isNotNull()
     fixed = volumes.join(dim, "site", "left")
-    return fixed.withColumn("lat", F.when(blank, F.col("_lat")).otherwise(F.col("lat"))).withColumn("lon", F.when(blank, F.col("_lon")).otherwise(F.col("lon"))).drop("_lat", "_lon").select(*volumes.columns)
+    return fixed.withColumns({c: F.when(blank, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("lat", "lon")}).select(*volumes.columns)
 
 
 def listing(sites: DataFrame) -> DataFrame:
