@@ -92,10 +92,12 @@ def azimuthal_shear(cells: DataFrame, rays: DataFrame, volumes: DataFrame, sweep
     """cells (scan_key, cell_id, az_deg, range_km) with shear: the largest step of velocity between neighbouring rays
     around the cell, over the distance of the rays there.
 
-    Only the 21 rays and 21 gates around a cell are joined to it. 0 where there is no velocity.
+    Rays meet a scan's cells by scan_key, so their arrays move once, and only the 21 rays and 21 gates around a cell go
+    on from there. 0 where there is no velocity.
     """
     half, wide = config.shear_half_rays, config.shear_half_gates
-    velocity = rays.join(sweep_of.select("scan_key", F.col("sweeps")["velocity"].alias("sweep_idx")), ["scan_key", "sweep_idx"]).select("scan_key", "ray_idx", "azimuth_deg", F.col("velocity"))
+    chosen = sweep_of.select("scan_key", F.col("sweeps")["velocity"].alias("_sweep"))
+    velocity = rays.join(chosen, "scan_key").where(F.col("sweep_idx") == F.col("_sweep")).select("scan_key", "ray_idx", "azimuth_deg", "velocity")
     sweep = velocity.groupBy("scan_key").agg(F.array_sort(F.collect_list(F.struct("ray_idx", "azimuth_deg"))).alias("own")).select("scan_key", F.col("own.azimuth_deg").alias("azimuths"), F.col("own.ray_idx").alias("indices"))
     placed = cells.select("scan_key", "cell_id", "az_deg", "range_km").join(sweep, "scan_key").join(volumes.select("scan_key", F.transform("range_m", lambda r: r / 1000.0).alias("km")), "scan_key")
     nearest = lambda a, gap: F.array_min(F.transform(a, lambda x, i: F.struct(gap(x).alias("gap"), i.alias("i"))))["i"]
@@ -105,8 +107,12 @@ def azimuthal_shear(cells: DataFrame, rays: DataFrame, volumes: DataFrame, sweep
     distance = F.greatest(F.col("range_km") * F.radians(spacing), F.lit(0.01))
     window = placed.select("scan_key", "cell_id", distance.alias("distance"), "gate", n.alias("n"), F.col("indices"), F.col("center"), F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("k"))
     window = window.select("scan_key", "cell_id", "distance", "gate", "k", F.get("indices", F.pmod(F.col("center") + F.col("k"), F.col("n"))).alias("ray_idx"))
-    low = F.greatest(F.col("gate") - wide, F.lit(0))
-    joined = window.join(velocity.select("scan_key", "ray_idx", "velocity"), ["scan_key", "ray_idx"]).withColumn("v", F.slice("velocity", low + 1, F.col("gate") + wide + 1 - low))
+    # A scan's windows as a map from ray to cells: bounded by its cells.
+    by_ray = window.groupBy("scan_key", "ray_idx").agg(F.collect_list(F.struct("cell_id", "distance", "gate", "k")).alias("w"))
+    by_scan = by_ray.groupBy("scan_key").agg(F.map_from_entries(F.collect_list(F.struct("ray_idx", "w"))).alias("at"))
+    joined = velocity.join(by_scan, "scan_key").select("scan_key", "velocity", F.explode(F.try_element_at("at", F.col("ray_idx"))).alias("w"))
+    low = F.greatest(F.col("w.gate") - wide, F.lit(0))
+    joined = joined.select("scan_key", "w.cell_id", "w.distance", "w.k", F.slice("velocity", low + 1, F.col("w.gate") + wide + 1 - low).alias("v"))
     previous = F.lag("v").over(Window.partitionBy("scan_key", "cell_id").orderBy("k"))
     steps = F.array_max(F.zip_with("v", "before", lambda a, b: F.abs(a.cast("double") - b.cast("double"))))
     shear = joined.withColumn("before", previous).groupBy("scan_key", "cell_id").agg((F.max(steps) / F.first("distance")).alias("shear"))

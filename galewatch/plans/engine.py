@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewatch.config import EngineConfig
+from galewatch.functions.tables import stored
 from galewatch.operators.cells import identify_cells
 from galewatch.operators.chips import chip_parts
 from galewatch.operators.quality import evaluate
@@ -38,10 +39,14 @@ def scored_cells(rays: DataFrame, volumes: DataFrame, make_scorer: Callable[[],
 
 
 def process_scans(rays: DataFrame, volumes: DataFrame, sites: DataFrame, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None) -> Processed:
-    """All scans given, oldest first; each site's tracks run through them."""
+    """All scans given, oldest first; each site's tracks run through them.
+
+    Cells and updates are stored, so that writing the tables that follow from them runs neither the model nor the
+    tracker again.
+    """
     config = config or EngineConfig()
-    cells = scored_cells(rays, volumes, make_scorer, config)
-    updates = tracker.replay(tracker.scans_of(cells, volumes.select("site", "scan_key", "scan_time")), config)
+    cells = stored(scored_cells(rays, volumes, make_scorer, config), "cells")
+    updates = stored(tracker.replay(tracker.scans_of(cells, volumes.select("site", "scan_key", "scan_time")), config), "updates")
     return Processed(cells, updates, results_table(cells, sites), detections_table(cells, updates, sites))
 
 

@@ -14,6 +14,7 @@ from galewatch.config import EngineConfig
 from galewatch.functions import geo, text
 from galewatch.operators import cells, chips, heatmap, history, quality
 from galewatch.plans import reports
+from galewatch.plans.tracker_sql import DETECTIONS_SQL, REPLAY_SQL
 from galewatch.plans.views import CAND, SITE_DIM, SITES, SWEEP_GATES, attempts, candidates, read, scans, site_dim, sweep_gates
 from galewatch.sources import sites as site_source
 from galewatch.sources import volumes
@@ -419,21 +420,22 @@ def activity_state(spark, sf_dir):
     return schedule.schedule(attempts(spark, sf_dir), CONFIG)
 
 
-@query()
+@query(REPLAY_SQL)
 def tracker_replay(spark, sf_dir):
-    """No SQL: tested against a second implementation of the rules."""
     updates = tracker.replay(scans(candidates(spark, sf_dir)), CONFIG)
-    return updates.select("site", "scan_time", "cand_idx", "cell_id", "track_id", "status", "hits_in_window", "window_size", "newly_confirmed", six(F.array_max(F.transform("observations", lambda o: o["probability"]))).alias("max_probability"))
+    return updates.select("site", text.iso_utc(F.col("scan_time")).alias("scan_time"), "cand_idx", "cell_id", "track_id", "status", "hits_in_window", "window_size", "newly_confirmed", six(F.array_max(F.transform("observations", lambda o: o["probability"]))).alias("max_probability"))
 
 
-@query()
+@query(DETECTIONS_SQL)
 def detections_export(spark, sf_dir):
-    """No SQL: the tracker's newly confirmed tracks as the detections log."""
+    """The tracker's newly confirmed tracks as the detections log; probabilities at five digits, without coordinates
+    (results_export and geodesic_forward check these)."""
     from galewatch.streaming.sinks import detections_table
 
     c = candidates(spark, sf_dir)
     rows = quality.evaluate(c, CONFIG).withColumns({"cell_id": F.col("event_id").cast("string"), "quality_pass": F.col("actionable"), "shear": F.lit(0.0)})
-    return detections_table(rows, tracker.replay(scans(c), CONFIG), site_dim(spark))
+    found = detections_table(rows, tracker.replay(scans(c), CONFIG), site_dim(spark)).drop("lat", "lon")
+    return found.withColumns({k: F.round(k, 5) for k in ("probability", "max_probability")})
 
 
 @query(f"""WITH {CAND} SELECT strftime(scan_time, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, site, CAST(event_id AS VARCHAR) AS cell_id, az_deg, range_km, dbz_max, n_gates, floor(probability * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS probability, CASE WHEN probability >= 0.6::DOUBLE THEN 'True' ELSE 'False' END AS above_threshold FROM cand""")

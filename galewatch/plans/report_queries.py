@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from galewatch.config import EngineConfig
 from galewatch.functions import geo, text
+from galewatch.functions.tables import shared_dir
 from galewatch.operators import cells, chips, history, quality, scoring
 from galewatch.plans import engine, reports
 from galewatch.plans.radar_queries import CONFIG, HIST, _activity_sql, _histories, _rays, _track_table, query, six
-from galewatch.plans.views import CAND, SITE_DIM, SWEEP_GATES, attempts, candidates, read, shared_dir, site_dim, sweep_gates
+from galewatch.plans.views import CAND, SITE_DIM, SWEEP_GATES, attempts, candidates, read, site_dim, sweep_gates
 from galewatch.schemas import FIELDS
 from galewatch.sources import sites as site_source
 from galewatch.sources import volumes
@@ -201,7 +202,7 @@ def scan_times(spark, sf_dir):
 @query(f"""WITH {CAND} SELECT strftime(scan_time, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, site, CAST(event_id AS VARCHAR) AS cell_id, az_deg, range_km, dbz_max, n_gates, CASE WHEN probability >= 0.6::DOUBLE THEN 'True' ELSE 'False' END AS above_threshold FROM cand""")
 def results_csv(spark, sf_dir):
     """The results log, appended in two parts, exported as CSV and read back."""
-    root = f"{shared_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
     rows = quality.evaluate(candidates(spark, sf_dir), CONFIG).withColumn("cell_id", F.col("event_id").cast("string"))
     rows = sinks.results_table(rows, site_dim(spark))
     for part in (F.col("above_threshold") == "True", F.col("above_threshold") == "False"):

@@ -10,14 +10,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galewatch.functions.tables import shared_dir
+from galewatch.functions.text import iso_utc
 from galewatch.plans.radar_queries import CONFIG, _activity_sql, query
-from galewatch.plans.views import attempts, candidates, read, scans, shared_dir
+from galewatch.plans.tracker_sql import STREAM_SQL
+from galewatch.plans.views import attempts, candidates, read, scans
 from galewatch.streaming import dedup, schedule, tracker
 
 
 def finished(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
     """Writes rows where a stream can read them, runs make(stream) with availableNow, returns its output."""
-    root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/in")
     out = make(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
     out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
@@ -30,10 +33,10 @@ def stream_dedup(spark, sf_dir):
     return finished(spark, rows, lambda s: dedup.first_seen(s, "ts", config=CONFIG).select("key"))
 
 
-@query()
+@query(STREAM_SQL)
 def stream_tracker(spark, sf_dir):
-    """Tested for equality with tracker_replay."""
-    return finished(spark, scans(candidates(spark, sf_dir)), lambda s: tracker.stream(s, CONFIG)).select("site", "scan_time", "cand_idx", "cell_id", "track_id", "status", "hits_in_window", "window_size", "newly_confirmed")
+    updates = finished(spark, scans(candidates(spark, sf_dir)), lambda s: tracker.stream(s, CONFIG))
+    return updates.select("site", iso_utc(F.col("scan_time")).alias("scan_time"), "cand_idx", "cell_id", "track_id", "status", "hits_in_window", "window_size", "newly_confirmed")
 
 
 @query(_activity_sql())

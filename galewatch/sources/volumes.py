@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galewatch.functions.text import scan_date_from_filename, site_key
+from galewatch.functions.tables import stored
+from galewatch.functions.text import scan_date_from_filename, scan_key, site_key
 from galewatch.schemas import FIELDS, RAYS
 
 #: path, content -> rows of RAYS without site and scan_key, and whether the volume could be read.
@@ -54,19 +56,50 @@ def site_of_upload(filename: Column) -> Column:
     return F.when(head.rlike("^[A-Z]{4}$"), head)
 
 
-def read_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """SCAN_CATALOG of a folder of volumes, site/yyyy/mm/dd or flat: names alone are read, not contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+def read_catalog(spark: SparkSession, root: str, sites: list[str] | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
+    """SCAN_CATALOG of a folder of volumes: names alone are read, not contents.
+
+    With sites and days the folders root/yyyy/mm/dd/site are listed, as archives lay them out, and no others; without
+    them everything below root.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if sites is None or start is None:
+        files = reader.load(root)
+    else:
+        days = [start + timedelta(days=k) for k in range(((end or start) - start).days + 1)]
+        paths = [f"{root.rstrip('/')}/{d:%Y/%m/%d}/{s.strip().upper()}" for d in days for s in sites]
+        there = [p for p in paths if _exists(spark, p)]
+        files = reader.load(there) if there else spark.createDataFrame([], "path string")
     name = F.substring_index("path", "/", -1)
     rows = files.select(site_key(F.substring(name, 1, 4)).alias("site"), scan_date_from_filename(name).alias("scan_date"), F.col("path").alias("key"), name.alias("filename"))
     return rows.withColumn("ord", (F.row_number().over(Window.partitionBy("site", "scan_date").orderBy("filename")) - 1).cast("int"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def contents(spark: SparkSession, scans: DataFrame) -> DataFrame:
+    """SCAN_CATALOG rows -> site, scan_key, path, content, for decode: the chosen volumes are read, and no others.
+
+    A pass takes a volume or a few per site, so the names of the chosen ones go through the driver as a file listing does.
+    """
+    paths = [r["key"] for r in scans.select("key").distinct().collect()]
+    if not paths:
+        return spark.createDataFrame([], "site string, scan_key string, path string, content binary")
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    name = F.substring_index("path", "/", -1)
+    stamp = F.to_timestamp(F.regexp_extract(name, r"([0-9]{8}_[0-9]{6})", 1), "yyyyMMdd_HHmmss")
+    site = site_key(F.substring(name, 1, 4))
+    return files.select(site.alias("site"), scan_key(site, stamp).alias("scan_key"), "path", "content")
+
+
 def decode(files: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame]:
     """site, scan_key, path, content -> RAYS, and the volumes that couldn't be read.
 
-    A volume is one row, so a batch is bounded by setting spark.sql.execution.arrow.maxRecordsPerBatch. A failure costs
-    its own volume only: it goes to the second table and yields no scan.
+    A volume is one row; Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch). A failure costs
+    its own volume only: it goes to the second table and yields no scan. Volumes are decoded once, into a stored table.
     """
     names = [c.split()[0] for c in RAYS.split(", ")]
 
@@ -83,6 +116,7 @@ def decode(files: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame]:
                 yield own[[*names, "error", "path"]]
 
     rows = files.select("site", "scan_key", "path", "content").mapInPandas(run, RAYS + ", error string, path string")
+    rows = stored(rows, "decoded")
     return rows.where(F.col("error").isNull()).select(*names), rows.where(F.col("error").isNotNull()).select("path", "site", "scan_key", "error")
 
 
