@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,9 +14,15 @@ from galewatch.functions.tables import stored
 from galewatch.functions.text import scan_date_from_filename, scan_key, site_key
 from galewatch.schemas import FIELDS, RAYS
 
-#: path, content -> rows of RAYS without site and scan_key, and whether the volume could be read.
+#: path, content -> rows of RAYS without site and scan_key; in the volume's first row at least scan_time, lat, lon, range_m.
 Decoder = Callable[[str, bytes], pd.DataFrame]
-FAILURES = "path string, site string, scan_key string, error string"
+HEADS = "scan_time timestamp, lat double, lon double, range_m array<double>"
+
+
+class Decoded(NamedTuple):
+    rays: DataFrame  # RAYS
+    volumes: DataFrame  # VOLUMES
+    failed: DataFrame  # path, site, scan_key, error
 
 
 def is_volume(filename: Column, key: Column) -> Column:
@@ -68,14 +75,14 @@ def read_catalog(spark: SparkSession, root: str, sites: list[str] | None = None,
     else:
         days = [start + timedelta(days=k) for k in range(((end or start) - start).days + 1)]
         paths = [f"{root.rstrip('/')}/{d:%Y/%m/%d}/{s.strip().upper()}" for d in days for s in sites]
-        there = [p for p in paths if _exists(spark, p)]
+        there = [p for p in paths if path_exists(spark, p)]
         files = reader.load(there) if there else spark.createDataFrame([], "path string")
     name = F.substring_index("path", "/", -1)
     rows = files.select(site_key(F.substring(name, 1, 4)).alias("site"), scan_date_from_filename(name).alias("scan_date"), F.col("path").alias("key"), name.alias("filename"))
     return rows.withColumn("ord", (F.row_number().over(Window.partitionBy("site", "scan_date").orderBy("filename")) - 1).cast("int"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -95,13 +102,13 @@ def contents(spark: SparkSession, scans: DataFrame) -> DataFrame:
     return files.select(site.alias("site"), scan_key(site, stamp).alias("scan_key"), "path", "content")
 
 
-def decode(files: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame]:
-    """site, scan_key, path, content -> RAYS, and the volumes that couldn't be read.
+def decode(files: DataFrame, decoder: Decoder) -> Decoded:
+    """site, scan_key, path, content -> rays, volumes, and the files that couldn't be read.
 
     A volume is one row; Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch). A failure costs
     its own volume only: it goes to the second table and yields no scan. Volumes are decoded once, into a stored table.
     """
-    names = [c.split()[0] for c in RAYS.split(", ")]
+    names, heads = ([c.split()[0] for c in x.split(", ")] for x in (RAYS, HEADS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,13 +118,16 @@ def decode(files: DataFrame, decoder: Decoder) -> tuple[DataFrame, DataFrame]:
                 except Exception as wrong:  # whatever a decoder raises is about this volume
                     rays, error = pd.DataFrame(index=[0]), f"{type(wrong).__name__}: {wrong}"
                 own = rays.assign(site=row.site, scan_key=row.scan_key, error=error, path=row.path)
-                for name in set(names) - set(own.columns):
+                for name in {*names, *heads} - set(own.columns):
                     own[name] = None
-                yield own[[*names, "error", "path"]]
+                yield own[[*names, *heads, "error", "path"]]
 
-    rows = files.select("site", "scan_key", "path", "content").mapInPandas(run, RAYS + ", error string, path string")
+    rows = files.select("site", "scan_key", "path", "content").mapInPandas(run, f"{RAYS}, {HEADS}, error string, path string")
     rows = stored(rows, "decoded")
-    return rows.where(F.col("error").isNull()).select(*names), rows.where(F.col("error").isNotNull()).select("path", "site", "scan_key", "error")
+    good = rows.where(F.col("error").isNull())
+    head = F.min_by(F.struct(*heads), F.struct(F.col("range_m").isNull(), "sweep_idx", "ray_idx"))
+    own = good.groupBy("site", "scan_key").agg(head.alias("h")).select("site", "scan_key", "h.*")
+    return Decoded(good.select(*names), own, rows.where(F.col("error").isNotNull()).select("path", "site", "scan_key", "error"))
 
 
 def clean_rays(rays: DataFrame) -> DataFrame:

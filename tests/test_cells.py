@@ -140,8 +140,9 @@ def test_decoder_failures_are_kept_apart(spark):
     def decoder(path, content):
         if content == b"bad":
             raise ValueError("no volume")
-        return pd.DataFrame({"sweep_idx": [0], "ray_idx": [0], "azimuth_deg": [0.5], "elevation_deg": [0.5], "reflectivity": [[1.0, 2.0]]})
+        return pd.DataFrame({"sweep_idx": [0], "ray_idx": [0], "azimuth_deg": [0.5], "elevation_deg": [0.5], "reflectivity": [[1.0, 2.0]], "scan_time": [datetime(2024, 1, 1)], "lat": [1.0], "lon": [2.0], "range_m": [[250.0, 500.0]]})
 
-    rays, failed = volumes.decode(files, decoder)
+    rays, own, failed = volumes.decode(files, decoder)
+    assert [tuple(r) for r in own.collect()] == [("KTLX", "a", datetime(2024, 1, 1), 1.0, 2.0, [250.0, 500.0])]
     assert rays.first()["reflectivity"] == [1.0, 2.0] and rays.count() == 1
     assert [tuple(r) for r in failed.collect()] == [("p2", "KTLX", "b", "ValueError: no volume")]
