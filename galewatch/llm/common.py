@@ -2,47 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galewatch.functions.bind import held
+from galewatch.functions.tables import shared_dir, stored
+
+__all__ = ["CONTEXT", "SPACE", "SPAN", "joined_spans", "n_words", "running_total", "shared_dir", "stored", "table", "text_of", "with_spans"]
 
 #: What separates words everywhere in this subpackage: space and TAB to CR.
 SPACE = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Where the setting is missing, a temporary folder stands in on a local master; elsewhere that is an error, since each
-    executor would write to a disk of its own. Nothing here removes the tables: who sets the folder clears it.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = shared_dir.own = tempfile.mkdtemp(prefix="spark-")
-    return root
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/galewatch-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

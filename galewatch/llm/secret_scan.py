@@ -52,7 +52,7 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     Without one, the ledger starts empty in the shared folder. A run that is repeated adds nothing.
     """
     spark = docs.sparkSession
-    path = ledger or f"{shared_dir(spark).rstrip('/')}/galewatch-{uuid.uuid4().hex}/ledger"
+    path = ledger or f"{shared_dir(spark)}/galewatch-{uuid.uuid4().hex}/ledger"
     schema = f"blob string, rule_version string, findings array<{FINDING}>"
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("blob", F.sha2("text", 256))
     # One text per unseen blob: the smallest doc_id is picked from (blob, doc_id) alone, so texts move once, unsorted.
