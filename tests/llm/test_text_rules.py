@@ -166,7 +166,7 @@ def test_secret_base_spans_and_ledger(spark, tmp_path):
 
 
 def test_provider_spans_and_a_new_rule_version(spark, tmp_path, monkeypatch):
-    text, ledger = TEXTS[14], str(tmp_path / "ledger")
+    text, ledger = TEXTS[13], str(tmp_path / "ledger")
     docs = spark.createDataFrame([(1, text), (2, text), (3, "é sk_live_" + "b" * 24 + ", sk_live_short")], "doc_id long, text string")
     own = lambda t, s, base: (s["kind"], t[s["start"] : s["end"]], s["base"]) == ("access", t[s["start"] : s["end"]], base)
     texts = {1: text, 2: text, 3: "é sk_live_" + "b" * 24 + ", sk_live_short"}
