@@ -428,14 +428,12 @@ def tracker_replay(spark, sf_dir):
 
 @query(DETECTIONS_SQL)
 def detections_export(spark, sf_dir):
-    """The tracker's newly confirmed tracks as the detections log; probabilities at five digits, without coordinates
-    (results_export and geodesic_forward check these)."""
+    """The tracker's newly confirmed tracks as the detections log, without coordinates (geodesic_forward checks these)."""
     from galewatch.streaming.sinks import detections_table
 
     c = candidates(spark, sf_dir)
     rows = quality.evaluate(c, CONFIG).withColumns({"cell_id": F.col("event_id").cast("string"), "quality_pass": F.col("actionable"), "shear": F.lit(0.0)})
-    found = detections_table(rows, tracker.replay(scans(c), CONFIG), site_dim(spark)).drop("lat", "lon")
-    return found.withColumns({k: F.round(k, 5) for k in ("probability", "max_probability")})
+    return detections_table(rows, tracker.replay(scans(c), CONFIG), site_dim(spark)).drop("lat", "lon")
 
 
 @query(f"""WITH {CAND} SELECT strftime(scan_time, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, site, CAST(event_id AS VARCHAR) AS cell_id, az_deg, range_km, dbz_max, n_gates, floor(probability * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS probability, CASE WHEN probability >= 0.6::DOUBLE THEN 'True' ELSE 'False' END AS above_threshold FROM cand""")

@@ -71,4 +71,4 @@ DETECTIONS_SQL = f"""WITH RECURSIVE {TRACKER}, q AS (SELECT *, concat_ws('; ', C
   CASE WHEN edge_margin < 0.1::DOUBLE THEN printf('heatmap edge margin %.3f < 0.100', edge_margin) END) AS why FROM cand)
 SELECT {stamp("confirmed")} AS confirmed_at, u.site, track AS track_id, {stamp("created")} AS first_seen, {stamp("tm")} AS latest_scan_time, id AS cell_id, CAST(hits AS INTEGER) AS hits_in_window, CAST(win AS INTEGER) AS confirmation_window, CAST(u.n AS INTEGER) AS observations,
   az_deg, range_km, dbz_max, n_gates, 0.0::DOUBLE AS shear, probability >= 0.6::DOUBLE AND why = '' AS quality_pass, CASE WHEN probability >= 0.6::DOUBLE THEN why ELSE '' END AS quality_reasons, activation_az_deg, activation_range_km,
-  round_even(edge_margin, 4) AS heatmap_edge_margin, round(probability, 5) AS probability, round(most_real, 5) AS max_probability FROM updates u JOIN q ON q.event_id = CAST(u.id AS BIGINT) WHERE fresh"""
+  round_even(edge_margin, 4) AS heatmap_edge_margin, floor(probability * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS probability, floor(most_real * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS max_probability FROM updates u JOIN q ON q.event_id = CAST(u.id AS BIGINT) WHERE fresh"""
