@@ -27,14 +27,16 @@ def trimmed(line: Column) -> Column:
 
 
 def name_of(line: Column) -> Column:
-    return F.struct(F.xxhash64(trimmed(line)).alias("a"), F.xxhash64(F.lit(1), trimmed(line)).alias("b"))
+    """The name of a trimmed line."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """host (not null), text -> host, dropped: array of line names."""
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: trimmed(x) != ""), name_of))
-    found = pages.where(F.col("text").isNotNull()).select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("on"))
+    # Distinct as strings, by hash: structs would be compared in pairs.
+    lines = F.filter(F.array_distinct(F.transform(F.split("text", "\n", -1), trimmed)), lambda x: x != "")
+    found = pages.where(F.col("text").isNotNull()).select("host", F.explode(lines).alias("line")).select("host", name_of(F.col("line")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("on"))
     found = found.where(F.col("on") >= MIN_ON)
     return found.join(totals, "host").where(F.col("on") > F.col("pages") * ratio).groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
@@ -49,7 +51,7 @@ def drop_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, kee
     # The page's own columns travel in one struct, so that none of them can clash with these.
     rows = pages.select(F.struct(*pages.columns).alias("_row"), F.col(text).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("_key")).join(lost, F.col("_key") == F.col("_host"), "left")
     lines = F.split("_text", "\n", -1)
-    keep = F.filter("_lines", lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("dropped"), name_of(x)))
+    keep = F.filter("_lines", lambda x: (trimmed(x) == "") | ~F.array_contains(F.col("dropped"), name_of(trimmed(x))))
     rows = rows.withColumn("_lines", lines)
     rows = rows.withColumn("_kept", F.when(F.col("dropped").isNull(), F.col("_lines")).otherwise(keep))
     if keep_whole:
@@ -73,6 +75,7 @@ def page_lines(html: Column) -> Column:
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), page_lines(F.col("html")).alias("text"))
+    pages = stored(pages, "page_lines")  # both passes read the lines; taking them out of the HTML costs most
     return drop_lines(pages, "host", "text").select("page_id", "host", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
 
 
