@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galewatch.llm import bpe, filter_audit, line_dedup, mixing, ngram_join, packing, pii, quality, repeat_removal, secret_scan, url_filter, vector_dedup
+from galewatch.llm import bpe, filter_audit, line_dedup, mixing, ngram_join, packing, pii, quality, ranked_search, repeat_removal, secret_scan, url_filter, vector_dedup
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secret_scan.op10_secrets,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
     "op12_bpe": bpe.op12_bpe,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op3_packing": packing.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
