@@ -8,7 +8,7 @@ T = ceil(threshold * s) of them.
    at least. List lengths come from a counter sketch of fixed size over the whole corpus; any fixed order of the
    shingles gives the same links, lengths only decide how many candidates there are.
 2. Lists are gathered by shingle. Those of up to FEW classes are merged: occurrences of a pair are counted (Spark sorts
-   and merges them by pair), and a pair with fewer than c, or with too little after them, is no candidate.
+   and merges them by pair), and a pair with fewer than c, or with too little after the first of them, is no candidate.
 3. A longer list isn't listed pair by pair. One of its classes, that with the fewest rarer shingles, is its pivot and
    is compared with all others. Two classes that both link with the pivot are in one component and need not meet. For
    any other two, a and b, |a ^ b| = |a ^ p| + |b ^ p| - 2 |(a ^ p) & (b ^ p)|, and at least one of them is too far from
@@ -286,17 +286,18 @@ def met_lists(rows: DataFrame, num: int, den: int) -> DataFrame:
 def merged_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
     """shingle, part, class, size, place of lists of up to FEW classes -> one, two: pairs of classes that may link.
 
-    A pair must meet often enough. It can't share more than what follows its first meeting, nor than its meetings and
-    what follows the last. (Pairs that also meet in a longer list are candidates by that.)
+    A pair must meet often enough, and can't share more than what follows its first meeting. Both rules look at the
+    first shingles that a pair shares: if one of these is in a longer list, the pair is a candidate by that list, else
+    all of them are counted here. Meetings after these may be in longer lists, in rows that linked_classes leaves out,
+    so nothing is concluded from the last meeting.
     """
     members = lists.groupBy("shingle", "part").agg(F.array_sort(F.collect_list(F.struct("class", "size", "place"))).alias("m"))
     combined = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(FEW)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = members.select(F.explode(combined).alias("p")).select(F.col("p.a.class").alias("one"), F.col("p.b.class").alias("two"), F.col("p.a.size").alias("s1"), F.col("p.b.size").alias("s2"), F.col("p.a.place").alias("p1"), F.col("p.b.place").alias("p2"))
     pairs = pairs.where(F.lit(den) * F.least("s1", "s2") >= F.lit(num) * F.greatest("s1", "s2"))
-    met = pairs.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), *[f(c).alias(f"{name}_{c}") for c in ("p1", "p2") for name, f in (("first", F.min), ("last", F.max))])
+    met = pairs.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
     enough = F.col("n") >= F.least(occurrences(F.col("s1"), num, den), occurrences(F.col("s2"), num, den))
-    left = lambda k: F.least(F.col("s1") - F.col(f"{k}_p1"), F.col("s2") - F.col(f"{k}_p2"))
-    reach = F.least(left("first"), F.col("n") + left("last") - 1)
+    reach = F.least(F.col("s1") - F.col("p1"), F.col("s2") - F.col("p2"))
     return met.where(enough & (reach * (num + den) >= (F.col("s1") + F.col("s2")) * num)).select("one", "two")
 
 
@@ -493,7 +494,8 @@ def join_ngrams(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den:
 def count_links(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, text -> doc_id, n_links: the other documents, equal ones included, that each one links with.
 
-    A count needs every pair that may link: of L classes in one list, L * L / BLOCK rows are dealt to cells.
+    A count needs every pair that may link: of L classes in one list, L * L / BLOCK rows are dealt to cells. So this is
+    for corpora without large groups of near copies (or after keep_first); components need no such work.
     """
     found = gathered(docs, words, num, den)
     longer = found.longer.select(F.xxhash64("shingle", F.when(~F.col("hot"), F.col("part"))).alias("list"), "class")

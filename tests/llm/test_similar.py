@@ -111,6 +111,52 @@ def test_large_groups_equal_brute_force(spark, monkeypatch, seed, few, levels):
     assert 20 < len({c for _, _, c in want}) < 190
 
 
+def edited_family(rng, name, n, words):
+    """n texts, each edited from one of the others, so that similarities lie on both sides of the threshold."""
+    texts = [[f"{name}w{rng.randrange(3 * words)}" for _ in range(words)]]
+    while len(texts) < n:
+        own = list(rng.choice(texts[-40:] if rng.random() < 0.8 else texts))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            at = rng.choice([rng.randrange(len(own)), len(own) - 1, 0])
+            own[at : at + 1] = rng.choice([[f"{name}e{rng.randrange(30)}"], [], [own[at], f"{name}u{len(texts)}"]])
+        texts.append(own)
+    return texts
+
+
+def exact_pair(name, others):
+    """Two texts of 55 and 56 shingles that share 51 of 60, and others that share a part of these with both."""
+    shared = [f"{name}s{i}" for i in range(54)]
+    texts = [shared + [f"{name}a{i}" for i in range(5)], shared + [f"{name}b{i}" for i in range(4)]]
+    return texts + [shared[10 : 20 + i % 25] + [f"{name}o{i}.{j}" for j in range(40)] for i in range(others)]
+
+
+def test_join_at_its_own_settings(spark):
+    """20 seeds of families, groups of 5 to 70 texts and one of 2,000, pairs at exactly 85 %, lists around FEW."""
+    families = []
+    for seed in range(20):
+        rng = random.Random(seed)
+        for g, n in enumerate((5, 12, 16, 17, 18, 33, 70)):
+            families.append(edited_family(rng, f"f{seed}g{g}", n, rng.choice([20, 58, 59, 60, 140])))
+        families += [exact_pair(f"p{seed}x{others}", others) for others in (0, 3, 14, 15, 16, 40)]
+    families.append(edited_family(random.Random(99), "large", 2000, 70))
+    rows, want, linked = [], {}, 0
+    for family in families:
+        first = len(rows)
+        rows += [(first + i, " ".join(t)) for i, t in enumerate(family)]
+        sets = [shingles(" ".join(t), 4) for t in family]
+        links = []
+        for j, b in enumerate(sets):
+            for i in range(j):
+                a = sets[i]
+                if 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)) and 100 * (both := len(a & b)) >= 85 * (len(a) + len(b) - both):
+                    links.append((first + i, first + j))
+        linked += len(links)
+        want |= roots(range(first, len(rows)), links)
+    assert linked > 10_000 and len(set(want.values())) > 1000
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()}
+    assert {d: (c, want[d]) for d, c in got.items() if c != want[d]} == {} and len(got) == len(want)
+
+
 def test_large_groups_do_not_meet_in_pairs(spark, monkeypatch):
     made, n = [], 1600
     monkeypatch.setattr(ngram_join, "compare", lambda found, *a, compare=ngram_join.compare: made.append(found.count()) or compare(found, *a))
