@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galewatch.config import EngineConfig
-from galewatch.functions.tables import stored
+from galewatch.functions.tables import path_exists, stored
 from galewatch.operators.scoring import Scorer
 from galewatch.plans import engine
 from galewatch.schemas import ATTEMPTS, SCANS, UPDATES
 from galewatch.sources import volumes
-from galewatch.sources.volumes import path_exists
 from galewatch.streaming import schedule, sinks, tracker
 
 NOTED = ATTEMPTS + ", finished_at timestamp"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galewatch.functions.tables import stored
+from galewatch.functions.tables import path_exists, stored
 from galewatch.functions.text import scan_date_from_filename, scan_key, site_key
 from galewatch.schemas import FIELDS, RAYS
 
@@ -82,11 +82,6 @@ def read_catalog(spark: SparkSession, root: str, sites: list[str] | None = None,
     return rows.withColumn("ord", (F.row_number().over(Window.partitionBy("site", "scan_date").orderBy("filename")) - 1).cast("int"))
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def contents(spark: SparkSession, scans: DataFrame) -> DataFrame:
     """SCAN_CATALOG rows -> site, scan_key, path, content, for decode: the chosen volumes are read, and no others.
 
