@@ -2,10 +2,12 @@
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 from test_similar import brute_join
 from test_text_rules import WORD, plain_quality
 
@@ -183,6 +185,34 @@ def test_url_filter(spark):
     assert {r["id"]: r["lists"] for r in got.collect()} == dict(enumerate([[], ["spam"], ["adult"], ["adult", "spam"], [], ["spam"], [], [], [], [], [], [], ["scam"], [], [], ["spam"]]))
 
 
+def test_url_filter_long_urls(spark):
+    """Time in proportion to length, whatever the numbers of segments and labels that the list has."""
+    day = datetime(2024, 1, 1)
+    deep = "/".join(f"s{i}" for i in range(50_000))
+    patterns = ["a.example", "a.example/s0/s1", f"a.example/{'/'.join(f's{i}' for i in range(3000))}", "b.example/s0/s1/x", ".".join(["w"] * 40) + ".c.example", *(f"d{i}.example/" + "/".join("x" * i) for i in range(1, 60))]
+    captures = [f"http://www.a.example/{deep}", f"http://b.example/{deep}", "http://" + ".".join(["w"] * 20_000) + ".c.example/p", "http://d59.example/" + "/".join("x" * 58), "http://e.example/" + "?" * 50_000, "http://e.example" + "/" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(captures)), "id int, url string").withColumn("fetched_at", F.lit(day))
+    entries = spark.createDataFrame([(p, f"l{i}", "add", day) for i, p in enumerate(patterns)], "pattern string, list string, action string, at timestamp")
+    began = time.perf_counter()
+    got = {r["id"]: r["lists"] for r in url_filter.filter_urls(rows, entries).collect()}
+    assert got == {0: ["l0", "l1", "l2"], 1: [], 2: ["l4"], 3: [], 4: [], 5: []} and time.perf_counter() - began < 15
+
+
+@pytest.mark.parametrize("html", ["<!--", "<script>", "<p ", "<", "<head>x</he", "<style"])
+def test_page_lines_of_hostile_pages(spark, html):
+    text = "begin<br>" + html * (1_000_000 // len(html))
+    began = time.perf_counter()
+    got = spark.createDataFrame([(text,)], "html string").select(line_dedup.page_lines(F.col("html"))).first()[0]
+    assert time.perf_counter() - began < 10 and got.startswith("begin\n")
+
+
+def test_line_dedup_replaces_its_own_columns(spark):
+    df = spark.createDataFrame([("a", "x\ny", "old", 1), ("a", "x", "old", 2)], "site string, text string, _n_lines string, _n_dropped int")
+    got = line_dedup.drop_lines(df, "site", "text", 0.2)
+    assert sorted(got.columns) == ["_n_dropped", "_n_lines", "site", "text"]
+    assert sorted((r["text"], r["_n_lines"], r["_n_dropped"]) for r in got.collect()) == [("", 1, 1), ("y", 2, 1)]
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     import corpus_pipeline as pipeline
 

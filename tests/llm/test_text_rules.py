@@ -178,11 +178,24 @@ def test_provider_spans_and_a_new_rule_version(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(secret_scan, "scan_blobs", lambda blobs, scan=secret_scan.scan_blobs: scanned.append(blobs.count()) or scan(blobs))
     secret_scan.scan(docs, ledger)
     assert scanned == [0]  # nothing is unseen
-    monkeypatch.setattr(secret_scan, "RULE_VERSION", "next")
+    old = secret_scan.rule_version()
     monkeypatch.setattr(secret_scan, "MORE", {"provider": "short"})
     got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["findings"] if not s["base"]] for r in secret_scan.scan(docs, ledger).collect()}
     assert scanned == [0, 2] and got == {1: [], 2: [], 3: ["short"]}  # every blob again under the new version, old findings unused
-    assert {(r["rule_version"], r["count"]) for r in spark.read.parquet(ledger).groupBy("rule_version").count().collect()} == {("2", 2), ("next", 2)}
+    new = secret_scan.rule_version()  # follows from the rules
+    assert new != old and {(r["rules"], r["count"]) for r in spark.read.parquet(ledger).groupBy("rules").count().collect()} == {(old, 2), (new, 2)}
+
+
+def test_scans_that_overlap_count_a_blob_once(spark, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "plain")], "doc_id long, text string")
+    want = sorted((r["doc_id"], len(r["findings"])) for r in secret_scan.scan(docs, ledger).collect())
+    monkeypatch.setattr(secret_scan, "path_exists", lambda *_: False)  # as if both had begun before either ended
+    got = sorted((r["doc_id"], len(r["findings"])) for r in secret_scan.scan(docs, ledger).collect())
+    assert spark.read.parquet(ledger).count() == 4
+    monkeypatch.undo()
+    again = sorted((r["doc_id"], len(r["findings"])) for r in secret_scan.scan(docs, ledger).collect())
+    assert got == again == want == [(1, 1), (2, 1), (3, 0)]
 
 
 def digest(spans):
