@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from galewatch.config import EngineConfig
-from galewatch.schemas import SCHEDULE
+from galewatch.schemas import ATTEMPTS, SCHEDULE
 
 COUNTERS = ("activity_score", "consecutive_quiet", "consecutive_no_new", "consecutive_errors")
 COLUMNS = [c.split()[0] for c in SCHEDULE.split(", ")]
@@ -82,6 +82,33 @@ def schedule(attempts: DataFrame, config: EngineConfig | None = None) -> DataFra
     return _decide(rows, config or EngineConfig())
 
 
+def continued(states: DataFrame, attempts: DataFrame, config: EngineConfig | None = None) -> DataFrame:
+    """Last rows of SCHEDULE per site, and ATTEMPTS -> SCHEDULE for the attempts that come after them.
+
+    The held counters stand before a site's attempts, so a round costs as many rows as it has sites and attempts,
+    however many attempts there ever were. Attempts up to the held one are in its counters and are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site, counters, last = None, (0, 0, 0, 0), None
+        for batch in batches:
+            out: list[tuple] = []
+            for own, rows in batch.groupby("site", sort=False):
+                if own != site:
+                    site, counters, last = own, (0, 0, 0, 0), None
+                known, new = rows[rows["held"]], rows[~rows["held"]]
+                if len(known):
+                    last, counters = int(known["seq"].iloc[0]), tuple(int(x) for x in known[list(COUNTERS)].iloc[0])
+                told, counters = _folded((new if last is None else new[new["seq"] > last]).itertuples(), counters)
+                out += told
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
+
+    counts = [c.split()[0] for c in ATTEMPTS.split(", ")[3:]]
+    known = states.select("site", "seq", "status", *COUNTERS, F.lit(True).alias("held"))
+    rows = known.unionByName(attempts.select("site", "seq", "status", *counts, F.lit(False).alias("held")), allowMissingColumns=True)
+    return _decide(rows.repartition("site").sortWithinPartitions("site", F.desc("held"), "seq").mapInPandas(run, STATES), config or EngineConfig())
+
+
 def stream(attempts: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     """The same over a stream of attempts, counters in the state store."""
 

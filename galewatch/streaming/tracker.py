@@ -22,7 +22,7 @@ from galewatch.schemas import OBSERVATION, UPDATES
 
 OUTPUT = UPDATES + f", created_at timestamp, confirmed_at timestamp, observations array<{OBSERVATION}>"
 COLUMNS = [c.strip().split(" ")[0] for c in (UPDATES + ", created_at timestamp, confirmed_at timestamp").split(", ")] + ["observations"]
-STATE = "tracks string, counter long, last_scan double"
+STATE = "tracks string, counter long, last_scan double, seen string"
 
 
 def place(az: float | None, km: float | None) -> tuple[float | None, float | None]:
@@ -174,7 +174,8 @@ def stream(scans: DataFrame, config: EngineConfig | None = None, drop_late: bool
     trigger that ends, timeouts by the clock would ask for another batch for ever.
 
     Scans of one micro-batch are taken in the order of their time. A scan older than the last one seen is applied as it
-    comes, or left out with drop_late.
+    comes, or left out with drop_late. A scan that the site had already is left out, so one that is delivered twice
+    confirms nothing: the times of scans are remembered for the retention time of processed keys before the last one.
     """
     config = config or EngineConfig()
 
@@ -182,19 +183,21 @@ def stream(scans: DataFrame, config: EngineConfig | None = None, drop_late: bool
         if held.hasTimedOut:
             held.remove()
             return
-        state, last = {"tracks": [], "counter": 0}, float("-inf")
+        state, last, seen = {"tracks": [], "counter": 0}, float("-inf"), set()
         if held.exists:
-            text, counter, last = held.get
-            state = {"tracks": json.loads(text), "counter": counter}
+            text, counter, last, times = held.get
+            state, seen = {"tracks": json.loads(text), "counter": counter}, set(json.loads(times))
         rows = pd.concat(list(batches)).sort_values("scan_time", kind="stable")
         out = []
         for row in rows.itertuples():
             at = _moment(row.scan_time)
-            if drop_late and at < last:
+            if at in seen or (drop_late and at < last):
                 continue
+            seen.add(at)
             out += advance(state, key[0], at, _candidates(row.candidates), config)
             last = max(last, at)
-        held.update((json.dumps(state["tracks"]), state["counter"], last))
+        kept = sorted(t for t in seen if t >= last - config.processed_ttl_seconds)
+        held.update((json.dumps(state["tracks"]), state["counter"], last, json.dumps(kept)))
         if expire:
             held.setTimeoutDuration(config.track_ttl_seconds * 1000)
         yield _frame(out)

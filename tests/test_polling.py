@@ -1,13 +1,17 @@
 """Rounds over due sites on an archive of made-up volumes, and the command line."""
 
+import dataclasses
 import json
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 
 from galewatch.config import EngineConfig
+from galewatch.functions.tables import children
 from galewatch.operators.scoring import ContrastScorer
 from galewatch.plans import polling
+from galewatch.schemas import SCANS
 from galewatch.sources import sites, volumes
 
 START = datetime(2024, 5, 1, 12, 0)
@@ -56,7 +60,7 @@ def test_rounds(spark, tmp_path):
     asked = due(spark, folder, own, 6)
     second = round_at(6)
     assert set(second) == asked and second["KTLX"] == "processed" and set(second.values()) <= {"processed", "no_new_scan"}
-    updates = spark.read.parquet(f"{folder}/updates/batch=*").orderBy("scan_time").collect()
+    updates = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/updates").orderBy("scan_time").collect()
     assert [u["status"] for u in updates] == ["pending", "newly_confirmed"] and len({u["track_id"] for u in updates}) == 1  # the track goes on
     assert spark.read.parquet(f"{folder}/results").count() == 2 and spark.read.parquet(f"{folder}/detections").count() == 1
     assert spark.read.parquet(f"{folder}/processed").count() == 3
@@ -64,6 +68,66 @@ def test_rounds(spark, tmp_path):
     assert set(round_at(6.6, overwrite=True)) == names  # every site is due again
 
 
+@pytest.mark.parametrize("where", ["stream_scans", "scan_outcomes", "merge", "remove"])
+def test_a_round_that_is_cut_off_is_done_once(spark, tmp_path, monkeypatch, where):
+    """A round fails at some step, the next call comes later: every scan is once in every table, and one scan alone confirms nothing."""
+    archive, folder = tmp_path / "archive", str(tmp_path / "state")
+    own = sites.core_sites(spark).where("site_id in ('KTLX', 'KDOX')")
+    put(archive, "KTLX", START)
+    put(archive, "KDOX", START)
+    module = {"merge": polling.snapshot, "remove": polling}.get(where, polling.engine)
+    calls, whole = [], getattr(module, where)
+
+    def failing(*args, **more):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        return whole(*args, **more)
+
+    monkeypatch.setattr(module, where, failing)
+    again = lambda minutes: polling.poll(spark, str(archive), folder, own, made(), ContrastScorer, SMALL, START + timedelta(minutes=minutes)).collect()
+    with pytest.raises(RuntimeError):
+        again(1)
+    assert len(polling.unfinished(spark, folder)) == 1
+    later = again(2)
+    assert polling.unfinished(spark, folder) == []
+    table = lambda name: spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{name}")
+    assert table("scans").count() == table("processed").count() == table("results").count() == 2
+    assert [u["status"] for u in table("updates").collect()] == ["pending"] * 2 and table("detections").count() == 0
+    first = table("attempts").where("status = 'processed'").collect()
+    assert {(r["site"], r["finished_at"]) for r in first} == {(s, START + timedelta(minutes=1)) for s in ("KTLX", "KDOX")}  # under its own time
+    assert {r["status"] for r in later} <= {"no_new_scan"}
+    states = polling.snapshot.read(spark, f"{folder}/sites", polling.SITE_STATES).collect()
+    assert all(r["activity_score"] == 3 and r["consecutive_no_new"] == (r["finished_at"] == START + timedelta(minutes=2)) for r in states)
+    put(archive, "KTLX", START + timedelta(minutes=5))
+    again(6)
+    assert table("detections").count() == 1 and table("updates").where("status = 'newly_confirmed'").count() == 1
+
+
+def test_a_scan_delivered_twice_confirms_nothing(spark, tmp_path):
+    candidate = {"cand_idx": 0, "cell_id": "c", "probability": 0.9, "threshold": 0.6, "az_deg": 10.0, "range_km": 50.0, "activation_az_deg": 10.0, "activation_range_km": 50.0, "quality_pass": True, "reasons": []}
+    row = spark.createDataFrame([("KTLX", START, [candidate])], SCANS)
+    for _ in range(2):
+        row.write.mode("append").parquet(str(tmp_path / "in"))
+        polling.engine.stream_scans(spark.readStream.schema(SCANS).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), SMALL).awaitTermination()
+    assert [r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["pending"]
+
+
+def test_rounds_read_no_logs(spark, tmp_path):
+    """What a round reads doesn't grow with the rounds before it; old keys and taken files go."""
+    archive, folder = tmp_path / "archive", str(tmp_path / "state")
+    own = sites.core_sites(spark).where("site_id = 'KTLX'")
+    config = dataclasses.replace(SMALL, processed_ttl_seconds=86_400)
+    for k in range(4):
+        at = START + timedelta(days=k)
+        put(archive, "KTLX", at)
+        polling.poll(spark, str(archive), folder, own, made(), ContrastScorer, config, at + timedelta(minutes=1))
+    assert len(children(spark, f"{folder}/processed")) == 2 and len(children(spark, f"{folder}/attempts")) == 4
+    states = polling.snapshot.read(spark, f"{folder}/sites", polling.SITE_STATES)
+    assert states.count() == 1 and len(states.inputFiles()) == 1
+    assert polling.processed_keys(spark, folder, at + timedelta(minutes=2), config).count() <= 2
+
+
 def due(spark, folder, own, minutes):
     queue = polling.due_now(spark, folder, own.selectExpr("site_id site"), START + timedelta(minutes=minutes), SMALL)
     return {r["site"] for r in queue.where("due").collect()}
