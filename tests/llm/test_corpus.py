@@ -103,6 +103,26 @@ def test_mix_with_equal_finish_times(spark):
     assert sorted(map(str, mixing.mix(docs.repartition(5), weights=(1,)).collect())) == sorted(map(str, got))
 
 
+def test_mix_spreads_rows_without_ids(spark, monkeypatch):
+    """Rows without doc_id are dealt by their text, and rows that repeat both are one row until they are ranked."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    largest = []
+
+    def watched(df, group, bucket, order, value, out, whole=mixing.running_total):
+        if value == "words":
+            largest.append(max(r["count"] for r in df.groupBy(*group, bucket).count().collect()))
+        return whole(df, group, bucket, order, value, out)
+
+    monkeypatch.setattr(mixing, "running_total", watched)
+    docs = spark.range(12_000).selectExpr("cast(null as long) doc_id", "case when id < 6000 then concat('w w w t', id) when id < 10000 then 'same text' end text", "'s' source")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 12_000 and max(largest) < 200
+    sizes = Counter((r["size"], r["taken"]) for r in got)
+    assert sum(n for (s, _), n in sizes.items() if s == 4) == 6000 and sum(n for (s, _), n in sizes.items() if s == 2) == 4000
+    assert sum(s * n for (_, s), n in sizes.items()) == 32_000 and sum(mixing.repeated(docs).groupBy("text").count().toPandas()["count"]) > 0
+    assert len({(r["size"], r["finish"]) for r in got if r["size"] == 2}) == 4000  # each has a place of its own
+
+
 def plain_padding(histogram, ends):
     return sum(n * (min(e for e in ends if e >= x) - x) for x, n in histogram.items())
 
