@@ -72,3 +72,11 @@ DETECTIONS_SQL = f"""WITH RECURSIVE {TRACKER}, q AS (SELECT *, concat_ws('; ', C
 SELECT {stamp("confirmed")} AS confirmed_at, u.site, track AS track_id, {stamp("created")} AS first_seen, {stamp("tm")} AS latest_scan_time, id AS cell_id, CAST(hits AS INTEGER) AS hits_in_window, CAST(win AS INTEGER) AS confirmation_window, CAST(u.n AS INTEGER) AS observations,
   az_deg, range_km, dbz_max, n_gates, 0.0::DOUBLE AS shear, probability >= 0.6::DOUBLE AND why = '' AS quality_pass, CASE WHEN probability >= 0.6::DOUBLE THEN why ELSE '' END AS quality_reasons, activation_az_deg, activation_range_km,
   round_even(edge_margin, 4) AS heatmap_edge_margin, floor(probability * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS probability, floor(most_real * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS max_probability FROM updates u JOIN q ON q.event_id = CAST(u.id AS BIGINT) WHERE fresh"""
+#: Open tracks after each site's last scan. Observations carry no cell id here: the cell is that of the track's last update.
+OPEN_SQL = f"""WITH RECURSIVE {TRACKER},
+ends AS (SELECT site, max(n) AS n FROM run GROUP BY site),
+kept AS (SELECT run.site, unnest(run.tracks) AS t FROM run JOIN ends ON run.site = ends.site AND run.n = ends.n),
+named AS (SELECT track, arg_max(id, tm) AS cell FROM updates WHERE track IS NOT NULL GROUP BY track),
+flat AS (SELECT site, t.id AS id, t.created AS created, t.confirmed AS confirmed, t.obs AS obs, list_filter(t.obs, lambda o: NOT o.missed) AS real FROM kept)
+SELECT site, flat.id AS track_id, {stamp("created")} AS created_at, {stamp("confirmed")} AS confirmed_at, CAST(len(obs) AS INTEGER) AS observations, CAST(len(obs) - len(real) AS INTEGER) AS missed, cell AS last_cell,
+  round_even(real[len(real)].x, 6) AS x_km, round_even(real[len(real)].y, 6) AS y_km FROM flat JOIN named ON named.track = flat.id"""

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from galewatch.config import EngineConfig
 from galewatch.schemas import ATTEMPTS, SCHEDULE
+from galewatch.streaming.stores import in_order, micros, moment, timer_at
 
 COUNTERS = ("activity_score", "consecutive_quiet", "consecutive_no_new", "consecutive_errors")
 COLUMNS = [c.split()[0] for c in SCHEDULE.split(", ")]
@@ -135,3 +137,39 @@ def due_queue(states: DataFrame, sites: DataFrame, now: Column) -> DataFrame:
     rows = sites.select("site").join(states.select("site", "finished_at", "delay_seconds", "priority"), "site", "left")
     due = F.coalesce(F.timestamp_add("SECOND", F.col("delay_seconds"), F.col("finished_at")), now)
     return rows.select("site", due.alias("due_at"), F.coalesce("priority", F.lit(10)).alias("priority")).withColumn("due", F.col("due_at") <= now).orderBy("due_at", "priority", "site")
+
+
+class DueTimers(StatefulProcessor):
+    """For each site, when it is due and how urgently. Its timer tells; an attempt before that puts it off."""
+
+    def init(self, handle) -> None:
+        self.handle, self.next = handle, handle.getValueState("next", "due long, priority int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, out = (self.next.get() if self.next.exists() else None), []
+        for row in in_order(rows, "finished_at", "seq").itertuples():
+            at = micros(row.finished_at)
+            if held is not None and held[0] <= at:  # it was due before this attempt, whatever the micro-batches
+                out.append((key[0], moment(held[0]), held[1]))
+            held = (at + int(row.delay_seconds) * 1_000_000, int(row.priority))
+        self.next.update(held)
+        timer_at(self.handle, held[0])
+        yield pd.DataFrame(out, columns=["site", "due_at", "priority"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due, priority = self.next.get()
+        self.next.clear()
+        yield pd.DataFrame([(key[0], moment(due), priority)], columns=["site", "due_at", "priority"])
+
+    def close(self) -> None:
+        pass
+
+
+def due_sites(scheduled: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+    """A stream of SCHEDULE with finished_at -> site, due_at, priority: a row whenever a site becomes due.
+
+    A site is due its delay after its last attempt; a further attempt before that counts instead. Nothing is polled: a
+    timer per site fires as the watermark of attempts passes it. State is in RocksDB (stores.rocksdb).
+    """
+    rows = scheduled.select("site", "seq", "finished_at", "delay_seconds", "priority").withWatermark("finished_at", lateness)
+    return rows.groupBy("site").transformWithStateInPandas(DueTimers(), "site string, due_at timestamp, priority int", "append", "EventTime")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -145,11 +145,21 @@ def _candidates(value) -> list[dict]:
     return [c if isinstance(c, dict) else c.asDict() for c in ([] if value is None else value)]
 
 
-def replay(scans: DataFrame, config: EngineConfig | None = None, newest_first: bool = False) -> DataFrame:
+def _restored(saved) -> dict:
+    """A site's row of SAVED as JSON -> the state that `advance` changes."""
+    told = json.loads(saved)
+    at = lambda x: None if x is None else _moment(pd.Timestamp(x).tz_convert(None) if pd.Timestamp(x).tz else x)
+    for t in told["tracks"]:
+        t |= {"created_at": at(t["created_at"]), "confirmed_at": at(t.get("confirmed_at"))}
+        t["observations"] = [{k: o.get(k) for k in missing(0.0)} | {"scan_time": at(o["scan_time"])} for o in t["observations"]]
+    return {"tracks": told["tracks"], "counter": told["counter"]}
+
+
+def replay(scans: DataFrame, config: EngineConfig | None = None, newest_first: bool = False, start: DataFrame | None = None) -> DataFrame:
     """SCANS -> OUTPUT: an update per candidate, with the track's history after it.
 
     Sites are dealt over tasks; a site's scans follow one another by nature. newest_first: the order of live polling,
-    which walks back from the newest scan.
+    which walks back from the newest scan. start: SAVED, the tracks that are open before the first scan.
     """
     config = config or EngineConfig()
 
@@ -160,11 +170,17 @@ def replay(scans: DataFrame, config: EngineConfig | None = None, newest_first: b
             for row in batch.itertuples():
                 if row.site != site:
                     site, state = row.site, {"tracks": [], "counter": 0}
+                if row.saved is not None:
+                    state = _restored(row.saved)
+                    continue
                 out += advance(state, site, _moment(row.scan_time), _candidates(row.candidates), config)
             yield _frame(out)
 
     order = F.desc("scan_time") if newest_first else F.asc("scan_time")
-    return scans.select("site", "scan_time", "candidates").repartition("site").sortWithinPartitions("site", order).mapInPandas(run, OUTPUT)
+    rows = scans.select("site", "scan_time", "candidates", F.lit(None).cast("string").alias("saved"))
+    if start is not None:
+        rows = rows.unionByName(start.select("site", F.to_json(F.struct("counter", "tracks")).alias("saved")), allowMissingColumns=True)
+    return rows.repartition("site").sortWithinPartitions("site", F.col("saved").isNull(), order).mapInPandas(run, OUTPUT)
 
 
 def stream(scans: DataFrame, config: EngineConfig | None = None, drop_late: bool = False, expire: bool = False) -> DataFrame:
@@ -205,6 +221,29 @@ def stream(scans: DataFrame, config: EngineConfig | None = None, drop_late: bool
     return scans.select("site", "scan_time", "candidates").groupBy("site").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
+SAVED = f"site string, counter long, last_scan timestamp, tracks array<struct<track_id:string,created_at:timestamp,confirmed_at:timestamp,observations:array<{OBSERVATION}>>>"
+
+
+def saved_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """SAVED: each site's open tracks and counter as the tracker's stream left them in its checkpoint.
+
+    They are read out of the state store itself, so a table of open tracks needs no log of updates; replay takes them as
+    its start.
+    """
+    held = spark.read.format("statestore").load(checkpoint).select("key.site", "value.groupState.*")
+    plain = SAVED[SAVED.index("tracks ") + 7 :].replace("timestamp", "double")  # moments are seconds in the state
+    rows = held.select("site", "counter", F.timestamp_micros((F.col("last_scan") * 1e6).cast("long")).alias("last_scan"), F.from_json("tracks", plain).alias("tracks"))
+    at = lambda x: F.timestamp_micros(F.round(x * 1e6).cast("long"))
+    seen = lambda o: o.withField("scan_time", at(o["scan_time"]))
+    told = lambda t: F.struct(t["track_id"].alias("track_id"), at(t["created_at"]).alias("created_at"), at(t["confirmed_at"]).alias("confirmed_at"), F.transform(t["observations"], seen).alias("observations"))
+    return rows.withColumn("tracks", F.transform("tracks", told))
+
+
+def open_tracks(saved: DataFrame) -> DataFrame:
+    """SAVED -> TRACKS: a row per open track, misses included."""
+    return saved.select("site", F.explode("tracks").alias("t")).select("t.track_id", "site", "t.created_at", "t.confirmed_at", "t.observations")
+
+
 def tracks_of(updates: DataFrame) -> DataFrame:
     """Each track as of its last candidate: misses that follow it aren't in."""
     last = F.max_by(F.struct("created_at", "confirmed_at", "observations"), F.struct("scan_time", "cand_idx"))
