@@ -130,8 +130,7 @@ def run(spark: SparkSession, archive: str, folder: str, sites: DataFrame, decode
 def reprocess(spark: SparkSession, archive: str, out: str, site: str, start: datetime, end: datetime, sites: DataFrame, decoder: volumes.Decoder, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None) -> engine.Processed:
     """A site's scans of a range of days again, oldest first with tracks of their own; results and detections as CSV."""
     config = config or EngineConfig()
-    catalog = volumes.list_scans(volumes.read_catalog(spark, archive, [site], start.date(), end.date()), site, start.date(), end.date())
-    decoded = volumes.decode(volumes.contents(spark, catalog), decoder)
+    decoded = volumes.decode(volumes.archived(spark, archive, site, start.date(), end.date()), decoder)
     done = engine.process_scans(decoded.rays, decoded.volumes, sites, make_scorer, config)
     sinks.export_csv(done.results, f"{out}/results")
     sinks.export_csv(done.detections, f"{out}/detections")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
+from datetime import date
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galewatch.functions.tables import path_exists, stored
+from galewatch.functions.tables import stored
 from galewatch.functions.text import scan_date_from_filename, scan_key, site_key
 from galewatch.schemas import FIELDS, RAYS
+from galewatch.sources import archive
 
 #: path, content -> rows of RAYS without site and scan_key; in the volume's first row at least scan_time, lat, lon, range_m.
 Decoder = Callable[[str, bytes], pd.DataFrame]
@@ -66,35 +67,47 @@ def site_of_upload(filename: Column) -> Column:
 def read_catalog(spark: SparkSession, root: str, sites: list[str] | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
     """SCAN_CATALOG of a folder of volumes: names alone are read, not contents.
 
-    With sites and days the folders root/yyyy/mm/dd/site are listed, as archives lay them out, and no others; without
-    them everything below root.
+    With sites and days the folders root/yyyy/mm/dd/site are listed, as archives lay them out, each by the executor that
+    has it, and no others; without them everything below root.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if sites is None or start is None:
-        files = reader.load(root)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    elif not sites:
+        files = spark.createDataFrame([], "path string")
     else:
-        days = [start + timedelta(days=k) for k in range(((end or start) - start).days + 1)]
-        paths = [f"{root.rstrip('/')}/{d:%Y/%m/%d}/{s.strip().upper()}" for d in days for s in sites]
-        there = [p for p in paths if path_exists(spark, p)]
-        files = reader.load(there) if there else spark.createDataFrame([], "path string")
+        archive.register(spark)
+        asked = {"path": root, "contents": "false", "sites": ",".join(s.strip().upper() for s in sites), "start": f"{start}", "end": f"{end or start}"}
+        files = spark.read.format(archive.NAME).options(**asked).load().select(F.col("key").alias("path"))
     name = F.substring_index("path", "/", -1)
     rows = files.select(site_key(F.substring(name, 1, 4)).alias("site"), scan_date_from_filename(name).alias("scan_date"), F.col("path").alias("key"), name.alias("filename"))
     return rows.withColumn("ord", (F.row_number().over(Window.partitionBy("site", "scan_date").orderBy("filename")) - 1).cast("int"))
 
 
+def archived(spark: SparkSession, root: str, site: str, start: date, end: date) -> DataFrame:
+    """site, scan_key, path, content of a site's volumes of a range of days, for decode. No name passes through the driver."""
+    archive.register(spark)
+    files = spark.read.format(archive.NAME).option("path", root).load().where((F.col("site") == site.strip().upper()) & F.col("scan_date").between(F.lit(start), F.lit(end)))
+    return named_files(files.where(is_volume(F.col("filename"), F.col("key"))).select(F.col("key").alias("path"), "content"))
+
+
+def named_files(files: DataFrame) -> DataFrame:
+    """path, content -> site, scan_key, path, content: site and time are read from the name."""
+    name = F.substring_index("path", "/", -1)
+    stamp = F.to_timestamp(F.regexp_extract(name, r"([0-9]{8}_[0-9]{6})", 1), "yyyyMMdd_HHmmss")
+    site = site_key(F.substring(name, 1, 4))
+    return files.select(site.alias("site"), scan_key(site, stamp).alias("scan_key"), "path", "content")
+
+
 def contents(spark: SparkSession, scans: DataFrame) -> DataFrame:
     """SCAN_CATALOG rows -> site, scan_key, path, content, for decode: the chosen volumes are read, and no others.
 
-    A pass takes a volume or a few per site, so the names of the chosen ones go through the driver as a file listing does.
+    For rounds, which take a volume per site: the names of the chosen ones go through the driver. A range of days is read by
+    `archived`.
     """
     paths = [r["key"] for r in scans.select("key").distinct().collect()]
     if not paths:
         return spark.createDataFrame([], "site string, scan_key string, path string, content binary")
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    name = F.substring_index("path", "/", -1)
-    stamp = F.to_timestamp(F.regexp_extract(name, r"([0-9]{8}_[0-9]{6})", 1), "yyyyMMdd_HHmmss")
-    site = site_key(F.substring(name, 1, 4))
-    return files.select(site.alias("site"), scan_key(site, stamp).alias("scan_key"), "path", "content")
+    return named_files(spark.read.format("binaryFile").load(paths).select("path", "content"))
 
 
 def decode(files: DataFrame, decoder: Decoder) -> Decoded:
