@@ -211,22 +211,27 @@ def polar_to_xy(spark, sf_dir):
     return c.select("event_id", six(x).alias("x_km"), six(y).alias("y_km"), six(geo.distance_km(x, y, ax, ay)).alias("apart_km"))
 
 
-def _geodesic_sql() -> str:
+def placed_sql(source: str) -> str:
+    """CTEs up to `placed`: the source's columns (lat0, lon0, az and km among them) with lat and lon of the place there."""
     a, f = geo.AXIS_M, geo.FLATTENING
     b = a * (1 - f)
     d = lambda v: f"{v!r}::DOUBLE"
     step = lambda i: f"v{i + 1} AS (SELECT *, z + bb * sin(g{i}) * (cos(2 * s1 + g{i}) + bb / 4 * (cos(g{i}) * (-1 + 2 * power(cos(2 * s1 + g{i}), 2)) - bb / 6 * cos(2 * s1 + g{i}) * (-3 + 4 * power(sin(g{i}), 2)) * (-3 + 4 * power(cos(2 * s1 + g{i}), 2)))) AS g{i + 1} FROM v{i})"
-    return f"""WITH {CAND}, {SITE_DIM}, q AS (SELECT event_id, lon, radians(az_deg) AS al, atan((1 - {d(f)}) * tan(radians(lat))) AS u, range_km * 1000.0::DOUBLE AS s FROM cand JOIN site_dim ON site = site_id),
+    return f"""q AS (SELECT *, radians(az) AS al, atan((1 - {d(f)}) * tan(radians(lat0))) AS u, km * 1000.0::DOUBLE AS s FROM {source}),
 q1 AS (SELECT *, atan2(tan(u), cos(al)) AS s1, cos(u) * sin(al) AS sa FROM q),
 q2 AS (SELECT *, (1 - sa * sa) AS ca, (1 - sa * sa) * {d((a * a - b * b) / (b * b))} AS uu FROM q1),
 q3 AS (SELECT *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) AS aa, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS bb FROM q2),
 v0 AS (SELECT *, s / ({d(b)} * aa) AS z, s / ({d(b)} * aa) AS g0 FROM q3), {", ".join(step(i) for i in range(3))},
-e AS (SELECT *, sin(u) * sin(g3) - cos(u) * cos(g3) * cos(al) AS t, cos(2 * s1 + g3) AS m, {d(f)} / 16 * ca * (4 + {d(f)} * (4 - 3 * ca)) AS c, atan2(sin(g3) * sin(al), cos(u) * cos(g3) - sin(u) * sin(g3) * cos(al)) AS lam FROM v3)
-SELECT event_id, round(degrees(atan2(sin(u) * cos(g3) + cos(u) * sin(g3) * cos(al), (1 - {d(f)}) * sqrt(sa * sa + t * t))), 6) AS lat,
-  round(lon + degrees(lam - (1 - c) * {d(f)} * sa * (g3 + c * sin(g3) * (m + c * cos(g3) * (-1 + 2 * m * m)))), 6) AS lon FROM e"""
+e AS (SELECT *, sin(u) * sin(g3) - cos(u) * cos(g3) * cos(al) AS t, cos(2 * s1 + g3) AS m, {d(f)} / 16 * ca * (4 + {d(f)} * (4 - 3 * ca)) AS c, atan2(sin(g3) * sin(al), cos(u) * cos(g3) - sin(u) * sin(g3) * cos(al)) AS lam FROM v3),
+placed AS (SELECT *, degrees(atan2(sin(u) * cos(g3) + cos(u) * sin(g3) * cos(al), (1 - {d(f)}) * sqrt(sa * sa + t * t))) AS lat,
+  lon0 + degrees(lam - (1 - c) * {d(f)} * sa * (g3 + c * sin(g3) * (m + c * cos(g3) * (-1 + 2 * m * m)))) AS lon FROM e)"""
 
 
-@query(_geodesic_sql())
+#: Events with the place of their site, for placed_sql.
+SITED = f"{CAND}, {SITE_DIM}, sited AS (SELECT cand.*, site_dim.lat AS lat0, site_dim.lon AS lon0, az_deg AS az, range_km AS km FROM cand JOIN site_dim ON site = site_id)"
+
+
+@query(f"WITH {SITED}, {placed_sql('sited')} SELECT event_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM placed")
 def geodesic_forward(spark, sf_dir):
     rows = site_source.with_coordinates(candidates(spark, sf_dir), site_dim(spark))
     lat, lon = geo.destination(F.col("site_lat"), F.col("site_lon"), F.col("az_deg"), F.col("range_km"))
@@ -436,12 +441,12 @@ def detections_export(spark, sf_dir):
     return detections_table(rows, tracker.replay(scans(c), CONFIG), site_dim(spark)).drop("lat", "lon")
 
 
-@query(f"""WITH {CAND} SELECT strftime(scan_time, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, site, CAST(event_id AS VARCHAR) AS cell_id, az_deg, range_km, dbz_max, n_gates, floor(probability * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS probability, CASE WHEN probability >= 0.6::DOUBLE THEN 'True' ELSE 'False' END AS above_threshold FROM cand""")
+@query(f"""WITH {SITED}, {placed_sql("sited")} SELECT strftime(scan_time, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, site, CAST(event_id AS VARCHAR) AS cell_id, az_deg, range_km, dbz_max, n_gates, round_even(lat, 5) AS lat, round_even(lon, 5) AS lon, floor(probability * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS probability, CASE WHEN probability >= 0.6::DOUBLE THEN 'True' ELSE 'False' END AS above_threshold FROM placed""")
 def results_export(spark, sf_dir):
     from galewatch.streaming.sinks import results_table
 
     rows = quality.evaluate(candidates(spark, sf_dir), CONFIG).withColumn("cell_id", F.col("event_id").cast("string"))
-    return results_table(rows, site_dim(spark)).drop("lat", "lon")  # geodesic_forward checks coordinates
+    return results_table(rows, site_dim(spark))
 
 
 @query(f"WITH {CAND} SELECT event_id, site || '-' || strftime(scan_time, '%Y%m%d%H%M%S') AS scan_key, site || '-' || strftime(scan_time, '%Y%m%d%H%M%S') || printf('-C%02d', event_id) AS cell_id, printf('C%02d', event_id) AS short_label, site || '-' || strftime(scan_time, '%Y%m%d%H%M%S') || printf('-T%04d', event_id) AS track_id, strftime(scan_time, '%Y%m%dT%H%M%SZ') AS image_stamp FROM cand")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewatch.config import EngineConfig
-from galewatch.functions import geo, text
+from galewatch.functions import geo, phase, text
 from galewatch.functions.tables import shared_dir
 from galewatch.operators import cells, chips, history, quality, scoring
 from galewatch.plans import engine, reports
-from galewatch.plans.radar_queries import CONFIG, HIST, _activity_sql, _histories, _rays, _track_table, query, six
+from galewatch.plans.radar_queries import CONFIG, HIST, SITED, _activity_sql, _histories, _rays, _track_table, placed_sql, query, six
 from galewatch.plans.views import CAND, SITE_DIM, SWEEP_GATES, attempts, candidates, read, site_dim, sweep_gates
 from galewatch.schemas import FIELDS
 from galewatch.sources import sites as site_source
@@ -79,11 +79,11 @@ def stage_times(spark, sf_dir):
 # --- tracks -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {HIST}, p AS (SELECT CAST(user_id AS VARCHAR) AS track_id, ts, probability, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, count(*) OVER (PARTITION BY user_id) AS n FROM k WHERE NOT missed)
-SELECT track_id, CAST(step AS INTEGER) AS step, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, probability, step = 0 AS is_start, step = n - 1 AS is_end FROM p""")
+@query(f"""WITH {HIST}, {SITE_DIM}, p AS (SELECT CAST(user_id AS VARCHAR) AS track_id, ts, probability, 45.0::DOUBLE AS az, event_id * sqrt(2.0::DOUBLE) AS km, (SELECT lat FROM site_dim WHERE site_id = 'click') AS lat0, (SELECT lon FROM site_dim WHERE site_id = 'click') AS lon0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, count(*) OVER (PARTITION BY user_id) AS n FROM k WHERE NOT missed), {placed_sql("p")}
+SELECT track_id, CAST(step AS INTEGER) AS step, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, probability, round(lat, 6) AS lat, round(lon, 6) AS lon, step = 0 AS is_start, step = n - 1 AS is_end FROM placed""")
 def track_paths(spark, sf_dir):
     tracks = _histories(spark, sf_dir).withColumn("site", F.lit("click"))
-    return reports.track_paths(tracks, site_dim(spark)).withColumn("scan_time", text.iso_utc(F.col("scan_time"))).drop("site", "lat", "lon")  # geodesic_forward checks coordinates
+    return reports.track_paths(tracks, site_dim(spark)).withColumn("scan_time", text.iso_utc(F.col("scan_time"))).drop("site").withColumns({c: six(F.col(c)) for c in ("lat", "lon")})
 
 
 @query(f"WITH {HIST} SELECT CAST(user_id AS VARCHAR) AS track_id, count(*) FILTER (valid AND rn <= 3) >= 2 AS recent_valid FROM k GROUP BY user_id")
@@ -149,14 +149,15 @@ def spaced_labels(spark, sf_dir):
     return reports.spaced_labels(top.withColumn("rank", F.col("label_rank")), "nation", 20.0, 4.0)
 
 
-@query(f"""WITH {SWEEP_GATES}, f AS (SELECT DISTINCT sweep_id, CAST(200 + sweep_id % 150 AS DOUBLE) AS far FROM sweep_gates)
-SELECT g.sweep_id, g.ray_idx * 10.0::DOUBLE AS azimuth_deg, g.gate_idx * 10.0::DOUBLE AS range_km, g.dbz AS value FROM sweep_gates g JOIN f ON g.sweep_id = f.sweep_id WHERE g.gate_idx * 10.0::DOUBLE <= greatest(300.0::DOUBLE, f.far + 40.0::DOUBLE)""")
+@query(f"""WITH {SWEEP_GATES}, f AS (SELECT DISTINCT sweep_id, CAST(200 + sweep_id % 150 AS DOUBLE) AS far FROM sweep_gates),
+o AS (SELECT g.sweep_id, g.ray_idx * 10.0::DOUBLE AS az, g.gate_idx * 10.0::DOUBLE AS km, 35.0::DOUBLE AS lat0, -97.0::DOUBLE AS lon0, g.dbz AS value FROM sweep_gates g JOIN f ON g.sweep_id = f.sweep_id WHERE g.gate_idx * 10.0::DOUBLE <= greatest(300.0::DOUBLE, f.far + 40.0::DOUBLE)), {placed_sql("o")}
+SELECT sweep_id, az AS azimuth_deg, km AS range_km, round(lat, 6) AS lat, round(lon, 6) AS lon, value FROM placed""")
 def plot_gates(spark, sf_dir):
     rays = _rays(sweep_gates(spark, sf_dir)).withColumn("azimuth_deg", F.col("ray_idx") * 10.0)
     keys = rays.select("scan_key").distinct()
     own = keys.select("scan_key", F.lit(35.0).alias("lat"), F.lit(-97.0).alias("lon"), F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: i * 10000.0).alias("range_m"))
     far = keys.select("scan_key", (F.col("scan_key") % 150 + 200).cast("double").alias("range_km"))
-    return reports.plot_gates(rays, own, far, "dbz").select(F.col("scan_key").alias("sweep_id"), "azimuth_deg", "range_km", "value")  # geodesic_forward checks coordinates
+    return reports.plot_gates(rays, own, far, "dbz").select(F.col("scan_key").alias("sweep_id"), "azimuth_deg", "range_km", six(F.col("lat")).alias("lat"), six(F.col("lon")).alias("lon"), "value")
 
 
 # --- catalog and files ------------------------------------------------------------------------------------------------
@@ -168,9 +169,14 @@ def unknown_sites(spark, sf_dir):
     return site_source.unknown_sites(asked, site_dim(spark))
 
 
-@query(f"WITH {SITE_DIM} SELECT printf('%s%s%.5f%s%.5f%s%s', site_id, chr(9), lat, chr(9), lon, chr(9), upper(site_id)) AS line FROM site_dim")
+@query("""WITH s AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS site_id, CAST(s_suppkey * 37 % 17000 AS DOUBLE) / 100.0::DOUBLE - 85.0::DOUBLE AS lat, CAST(s_suppkey * 53 % 36000 AS DOUBLE) / 100.0::DOUBLE - 180.0::DOUBLE AS lon, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT printf('%s%s%.5f%s%.5f%s%s', site_id, chr(9), lat, chr(9), lon, chr(9), n_name) AS line FROM s""")
 def site_listing(spark, sf_dir):
-    return site_source.listing(site_dim(spark).withColumn("name", F.upper("site_id")))
+    """Suppliers as sites, named after their nations."""
+    k = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.concat(F.lit("S"), k.cast("string")).alias("site_id"), ((k * 37 % 17000).cast("double") / 100.0 - 85.0).alias("lat"), ((k * 53 % 36000).cast("double") / 100.0 - 180.0).alias("lon"), F.col("n_name").alias("name"))
+    return site_source.listing(rows)
 
 
 @query(f"""WITH {CAND}, {SITE_DIM}, v AS (SELECT DISTINCT site, scan_no, CASE WHEN scan_no % 3 = 0 THEN 0.5 ELSE 41.0 END::DOUBLE AS lat, CASE WHEN scan_no % 2 = 0 THEN -0.25 ELSE -90.0 END::DOUBLE AS lon FROM cand)
@@ -199,7 +205,7 @@ def scan_times(spark, sf_dir):
     return e.select("event_id", text.iso_utc(text.scan_time_from_units(F.col("units"))).alias("scan_time"))
 
 
-@query(f"""WITH {CAND} SELECT strftime(scan_time, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, site, CAST(event_id AS VARCHAR) AS cell_id, az_deg, range_km, dbz_max, n_gates, CASE WHEN probability >= 0.6::DOUBLE THEN 'True' ELSE 'False' END AS above_threshold FROM cand""")
+@query(f"""WITH {SITED}, {placed_sql("sited")} SELECT strftime(scan_time, '%Y-%m-%dT%H:%M:%S+00:00') AS scan_time, site, CAST(event_id AS VARCHAR) AS cell_id, az_deg, range_km, dbz_max, n_gates, round_even(lat, 5) AS lat, round_even(lon, 5) AS lon, CASE WHEN probability >= 0.6::DOUBLE THEN 'True' ELSE 'False' END AS above_threshold FROM placed""")
 def results_csv(spark, sf_dir):
     """The results log, appended in two parts, exported as CSV and read back."""
     root = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
@@ -208,7 +214,7 @@ def results_csv(spark, sf_dir):
     for part in (F.col("above_threshold") == "True", F.col("above_threshold") == "False"):
         sinks.append(rows.where(part), f"{root}/log", ["site"])
     sinks.export_csv(spark.read.parquet(f"{root}/log").select(*rows.columns), f"{root}/csv")
-    return spark.read.schema(rows.schema).option("header", "true").csv(f"{root}/csv").drop("lat", "lon", "probability")  # geodesic_forward and results_export check these
+    return spark.read.schema(rows.schema).option("header", "true").csv(f"{root}/csv").drop("probability")  # results_export has it
 
 
 # --- the schedule -----------------------------------------------------------------------------------------------------
@@ -298,3 +304,33 @@ def chip_coordinates(spark, sf_dir):
             yield pd.DataFrame(rows, columns=["cell_id", "gate", "a", "b"])
 
     return bounds.mapInPandas(run, "cell_id string, gate int, a double, b double").select("cell_id", "gate", F.round("a", 5).alias("scaled_range"), F.round("b", 3).alias("inverse_range"))
+
+
+# --- derived fields and many maps -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SWEEP_GATES},
+w AS (SELECT a.sweep_id, a.ray_idx, g.gate_idx, regr_slope(a.dbz, CAST(a.gate_idx AS DOUBLE)) AS slope, count(*) AS n
+  FROM sweep_gates a JOIN (SELECT unnest(range(0, 40)) AS gate_idx) g ON a.gate_idx BETWEEN g.gate_idx - 6 AND g.gate_idx + 6 GROUP BY 1, 2, 3)
+SELECT sweep_id, ray_idx, CAST(gate_idx AS INTEGER) AS gate_idx, round(slope / 2.0::DOUBLE / 0.25::DOUBLE + 1e-9::DOUBLE, 6) AS kdp FROM w WHERE n >= 4""")
+def derived_phase(spark, sf_dir):
+    """Slopes of phase along rays: windows of 13 gates, of which 4 must have a value."""
+    rays = _rays(sweep_gates(spark, sf_dir))
+    slopes = phase.specific_phase(F.col("dbz"), F.lit(0.25), 6, 4)
+    rows = rays.select(F.col("scan_key").alias("sweep_id"), "ray_idx", F.posexplode(slopes).alias("gate_idx", "kdp"))
+    return rows.where(F.col("kdp").isNotNull()).withColumn("kdp", F.round(F.col("kdp") + 1e-9, 6))  # many values are ties of six digits
+
+
+@query("""WITH p AS (SELECT c_name AS name, CAST(c_custkey * 7919 % 3600 AS DOUBLE) / 10.0::DOUBLE - 180.0::DOUBLE AS lon, CAST(c_custkey * 104729 % 1700 AS DOUBLE) / 10.0::DOUBLE - 85.0::DOUBLE AS lat, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(floor(c_acctbal * 100) AS BIGINT) END AS pop_max FROM customer),
+b AS (SELECT s_suppkey AS map, CAST(s_suppkey * 37 % 340 - 175 AS DOUBLE) AS west, CAST(s_suppkey * 53 % 150 - 80 AS DOUBLE) AS south, CAST(s_suppkey % 7 * 4 + 1 AS DOUBLE) AS side FROM supplier),
+r AS (SELECT map, name, lon, lat, pop_max, row_number() OVER (PARTITION BY map ORDER BY coalesce(pop_max, 0) DESC, name) AS place_rank
+  FROM b JOIN p ON lon BETWEEN west AND west + side AND lat BETWEEN south AND south + side * 0.7::DOUBLE WHERE coalesce(pop_max, 0) >= 1000)
+SELECT map, CAST(place_rank AS INTEGER) AS place_rank, name, lon, lat, pop_max FROM r WHERE place_rank <= 20""")
+def places_on_maps(spark, sf_dir):
+    """The most populous customers on a map around every supplier."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    places = read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), ((k * 7919 % 3600).cast("double") / 10.0 - 180.0).alias("lon"), ((k * 104729 % 1700).cast("double") / 10.0 - 85.0).alias("lat"), F.when(k % 9 != 0, F.floor(F.col("c_acctbal") * 100)).alias("pop_max"))
+    side = (s % 7 * 4 + 1).cast("double")
+    maps = read(spark, sf_dir, "supplier").select(s.alias("map"), (s * 37 % 340 - 175).cast("double").alias("west"), (s * 53 % 150 - 80).cast("double").alias("south"), side.alias("side"))
+    maps = maps.select("map", "west", (F.col("west") + F.col("side")).alias("east"), "south", (F.col("south") + F.col("side") * 0.7).alias("north"))
+    return reports.places_on_maps(places, maps, 1000, 20)

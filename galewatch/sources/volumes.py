@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from galewatch.functions import phase
 from galewatch.functions.tables import stored
 from galewatch.functions.text import scan_date_from_filename, scan_key, site_key
 from galewatch.schemas import FIELDS, RAYS
@@ -115,6 +116,7 @@ def decode(files: DataFrame, decoder: Decoder) -> Decoded:
 
     A volume is one row; Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch). A failure costs
     its own volume only: it goes to the second table and yields no scan. Volumes are decoded once, into a stored table.
+    Where a volume has differential_phase but no specific differential phase, that is derived (functions.phase).
     """
     names, heads = ([c.split()[0] for c in x.split(", ")] for x in (RAYS, HEADS))
 
@@ -122,7 +124,7 @@ def decode(files: DataFrame, decoder: Decoder) -> Decoded:
         for batch in batches:
             for row in batch.itertuples():
                 try:
-                    rays, error = decoder(row.path, row.content), None
+                    rays, error = phase.filled(decoder(row.path, row.content)), None
                 except Exception as wrong:  # whatever a decoder raises is about this volume
                     rays, error = pd.DataFrame(index=[0]), f"{type(wrong).__name__}: {wrong}"
                 own = rays.assign(site=row.site, scan_key=row.scan_key, error=error, path=row.path)
@@ -143,8 +145,10 @@ def clean_rays(rays: DataFrame) -> DataFrame:
     return rays.select(*[F.transform(c, lambda x: F.when(~F.isnan(x), x)).alias(c) if c in FIELDS else F.col(c) for c in rays.columns])
 
 
-def with_derived_phase(rays: DataFrame, derive: Callable[[Column], Column], source: str = "differential_phase", target: str = "specific_differential_phase") -> DataFrame:
-    """Fills `target` where it is null from `source` by a column function; without a source it stays null."""
+def with_derived_phase(rays: DataFrame, spacing_km: Column, derive: Callable[[Column, Column], Column] = phase.specific_phase, source: str = "differential_phase", target: str = "specific_differential_phase") -> DataFrame:
+    """Fills `target` where it is null from `source`; without a source it stays null."""
     if source not in rays.columns:
         return rays
-    return rays.withColumn(target, F.coalesce(F.col(target), derive(F.col(source))))
+    kind = rays.schema[target].dataType if target in rays.columns else None
+    found = derive(F.col(source), spacing_km)
+    return rays.withColumn(target, F.coalesce(F.col(target), found.cast(kind)) if kind else found)
