@@ -92,32 +92,43 @@ def coordinates(lower_m: float, upper_m: float, rows: int, cols: int) -> np.ndar
 
 
 def chip_parts(cells: DataFrame, rays: DataFrame, volumes: DataFrame, config: EngineConfig | None = None) -> DataFrame:
-    """One row a cell: window bounds, and parts: array of struct<tilt, field, pos, gates> of the rays in the window.
+    """One row a cell: window bounds, and parts: array of struct<tilt, field, pos, ray_idx, gates> of the rays in the window.
 
-    A cell's parts are bounded by the chip (two tilts of six fields of a sixth of a turn).
+    What a sweep is asked for (cells with windows and fields: a few numbers each) is gathered to one row and meets the
+    rays once, whole as they are; the windows are cut out of the arrays there and then, and only these parts go on. A
+    cell's parts are bounded by the chip (two tilts of six fields of a sixth of a turn).
     """
     config = config or EngineConfig()
     window = range_window(F.col("range_m"), F.col("range_km"), config.chip_range_m, config.chip_range_gates)
     own = cells.join(volumes.select("scan_key", "range_m"), "scan_key").withColumn("w", window).drop("range_m").where(F.col("w.n") > 0)
-    sweeps = sweep_table(rays)
+    sweeps, half = sweep_table(rays), config.chip_azimuth_span_deg / 2
     tilts = None
     for k, target in enumerate(config.target_elevations):
         chosen = field_sweeps(sweeps, target, config.split_cut_tolerance_deg)
-        fields = chosen.select("scan_key", F.lit(k).alias("tilt"), F.explode("sweeps").alias("field", "sweep_idx"), F.coalesce(F.col("sweeps")["reflectivity"], F.get(F.map_values("sweeps"), F.lit(0))).alias("ref_sweep"))
+        reference = F.coalesce(F.col("sweeps")["reflectivity"], F.get(F.map_values("sweeps"), F.lit(0)))
+        fields = chosen.select("scan_key", F.lit(k).alias("tilt"), reference.alias("reference"), F.explode("sweeps").alias("field", "sweep_idx"))
+        fields = fields.groupBy("scan_key", "sweep_idx", "tilt").agg(F.max(F.col("reference") == F.col("sweep_idx")).alias("is_reference"), F.collect_set("field").alias("fields"))
         tilts = fields if tilts is None else tilts.unionByName(fields)
-    half = config.chip_azimuth_span_deg / 2
-    long = rays.select("scan_key", "sweep_idx", "ray_idx", "azimuth_deg", F.explode(F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*FIELDS))).alias("field", "gates")).where(F.col("gates").isNotNull())
-    placed = own.select("scan_key", "cell_id", "az_deg", "w").join(tilts, "scan_key").join(long, ["scan_key", "sweep_idx", "field"])
-    pos = unwrapped(F.col("azimuth_deg"), F.col("az_deg"))
-    placed = placed.withColumn("pos", pos).where(F.col("pos").between(F.col("az_deg") - half, F.col("az_deg") + half))
-    part = F.struct("tilt", "field", "pos", "ray_idx", F.slice("gates", F.col("w.start") + 1, F.col("w.n")).alias("gates"))
+    ask = F.struct("cell_id", "az_deg", F.col("w.start").alias("start"), F.col("w.n").alias("n"), "tilt", "is_reference", "fields")
+    asked = own.select("scan_key", "cell_id", "az_deg", "w").join(tilts, "scan_key").groupBy("scan_key", "sweep_idx").agg(F.collect_list(ask).alias("asked"))
+
+    gates = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("gates")) for f in FIELDS])
+    pos = lambda a: unwrapped(F.col("azimuth_deg"), a["az_deg"])
+    near = lambda a: F.abs(pos(a) - a["az_deg"]) <= half
+
+    def cut(a: Column) -> Column:
+        held_fields = F.filter(gates, lambda g: g["gates"].isNotNull() & F.array_contains(a["fields"], g["field"]))
+        part = lambda g: F.struct(a["tilt"].alias("tilt"), g["field"].alias("field"), pos(a).alias("pos"), F.col("ray_idx"), F.slice(g["gates"], a["start"] + 1, a["n"]).alias("gates"))
+        return F.struct(a["cell_id"].alias("cell_id"), a["tilt"].alias("tilt"), a["is_reference"].alias("is_reference"), F.transform(held_fields, part).alias("parts"))
+
+    placed = rays.join(asked, ["scan_key", "sweep_idx"]).select(F.explode(F.transform(F.filter("asked", near), cut)).alias("p")).select("p.*")
+    found = placed.groupBy("cell_id").agg(F.collect_list(F.struct("tilt", "is_reference", "parts")).alias("all"))
     # A tilt counts only where its reference sweep has rays in the window.
-    near = rays.select("scan_key", F.col("sweep_idx").alias("ref_sweep"), "azimuth_deg")
-    usable = own.select("scan_key", "cell_id", "az_deg").join(tilts.select("scan_key", "tilt", "ref_sweep").distinct(), "scan_key").join(near, ["scan_key", "ref_sweep"])
-    usable = usable.where(F.abs(unwrapped(F.col("azimuth_deg"), F.col("az_deg")) - F.col("az_deg")) <= half).select("cell_id", "tilt").distinct()
-    parts = placed.join(usable, ["cell_id", "tilt"], "left_semi").groupBy("cell_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    usable = F.transform(F.filter("all", lambda x: x["is_reference"]), lambda x: x["tilt"])
+    parts = held(F.array_distinct(usable), lambda tilts: F.array_sort(F.flatten(F.transform(F.filter("all", lambda x: F.array_contains(tilts, x["tilt"])), lambda x: x["parts"]))))
+    found = found.select("cell_id", parts.alias("parts"))
     bounds = [(F.col("az_deg") - half).alias("az_lower"), (F.col("az_deg") + half).alias("az_upper"), F.col("w.lower_m").alias("range_lower_m"), F.col("w.upper_m").alias("range_upper_m")]
-    return own.join(parts, "cell_id", "left").select(*[c for c in cells.columns], *bounds, "parts")
+    return own.join(found, "cell_id", "left").select(*[c for c in cells.columns], *bounds, "parts")
 
 
 def assembled(parts: list | None, lower_m: float, upper_m: float, config: EngineConfig) -> dict[str, np.ndarray]:

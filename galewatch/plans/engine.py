@@ -14,6 +14,7 @@ from galewatch.operators.cells import identify_cells
 from galewatch.operators.chips import chip_parts
 from galewatch.operators.quality import evaluate
 from galewatch.operators.scoring import Scorer, score
+from galewatch.plans.measured import Stages
 from galewatch.sources.volumes import newest_unprocessed
 from galewatch.streaming import tracker
 from galewatch.streaming.sinks import detections_table, results_table
@@ -29,25 +30,31 @@ class Processed:
     detections: DataFrame
 
 
-def scored_cells(rays: DataFrame, volumes: DataFrame, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None) -> DataFrame:
-    """RAYS, VOLUMES -> cells with score, quality flags and rank: segmentation, chips and scoring without stops between."""
+def scored_cells(rays: DataFrame, volumes: DataFrame, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None, stages: Stages | None = None) -> DataFrame:
+    """RAYS, VOLUMES -> cells with score, quality flags and rank: segmentation, chips and scoring without stops between
+    (with stages, segmentation is stored and measured by itself)."""
     config = config or EngineConfig()
     cells = identify_cells(rays, volumes, config)
+    cells = stages.stored(cells, "identified") if stages else cells
     scored = evaluate(score(chip_parts(cells, rays, volumes, config), make_scorer, config), config)
     times = volumes.select("scan_key", "scan_time")
     return scored.join(times, "scan_key").withColumn("threshold", F.lit(config.confidence_threshold)).withColumn("quality_pass", F.col("actionable"))
 
 
-def process_scans(rays: DataFrame, volumes: DataFrame, sites: DataFrame, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None) -> Processed:
+def process_scans(rays: DataFrame, volumes: DataFrame, sites: DataFrame, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None, stages: Stages | None = None) -> Processed:
     """All scans given, oldest first; each site's tracks run through them.
 
     Cells and updates are stored, so that writing the tables that follow from them runs neither the model nor the
-    tracker again.
+    tracker again. With stages, every table is, and stages.table() has the seconds and rows of each.
     """
     config = config or EngineConfig()
-    cells = stored(scored_cells(rays, volumes, make_scorer, config), "cells")
-    updates = stored(tracker.replay(tracker.scans_of(cells, volumes.select("site", "scan_key", "scan_time")), config), "updates")
-    return Processed(cells, updates, results_table(cells, sites), detections_table(cells, updates, sites))
+    keep = stages.stored if stages else stored
+    cells = keep(scored_cells(rays, volumes, make_scorer, config, stages), "scored")
+    updates = keep(tracker.replay(tracker.scans_of(cells, volumes.select("site", "scan_key", "scan_time")), config), "tracked")
+    results, detections = results_table(cells, sites), detections_table(cells, updates, sites)
+    if stages:
+        results, detections = stages.stored(results, "results"), stages.stored(detections, "detections")
+    return Processed(cells, updates, results, detections)
 
 
 def due_scans(catalog: DataFrame, processed: DataFrame, queue: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import DataFrame
@@ -286,6 +287,51 @@ def chip_scores(spark, sf_dir):
     return scored.select("cell_id", F.round("logit", 5).alias("logit"), F.round("probability", 5).alias("probability"), "heatmap_row", "heatmap_col", "edge_margin", "activation_az_deg", "activation_range_km")
 
 
+def _volumes_of_two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """RAYS and VOLUMES of two sweeps a scan. Spectrum width is never there, KDP in the upper sweep only; every third scan
+    has no upper sweep, every fifth none near its cell, and every seventh volume has no gate ranges."""
+    rays, own = _sweeps(spark, sf_dir)
+    k, blank = F.col("scan_key").cast("long"), F.lit(None).cast("array<float>")
+    scaled = lambda c, by: F.transform(c, lambda v: (v / by).cast("float"))
+    fields = {"reflectivity": F.col("reflectivity"), "velocity": F.col("velocity"), "cross_correlation_ratio": scaled("reflectivity", 64), "differential_reflectivity": scaled("velocity", 8)}
+    keys = ["site", "scan_key", "ray_idx", "azimuth_deg"]
+    low = rays.select(*keys, F.lit(0).alias("sweep_idx"), F.lit(0.3).alias("elevation_deg"), *[fields.get(f, blank).alias(f) for f in FIELDS])
+    fields |= {"reflectivity": scaled("reflectivity", 2), "specific_differential_phase": scaled("reflectivity", 16)}
+    apart = F.pmod(F.col("ray_idx") - k % 36 + 18, F.lit(36)) - 18
+    high = rays.where((k % 3 != 0) & ((k % 5 != 0) | (F.abs(apart) > 3))).select(*keys, F.lit(1).alias("sweep_idx"), F.lit(1.2).alias("elevation_deg"), *[fields.get(f, blank).alias(f) for f in FIELDS])
+    return low.unionByName(high), own.withColumn("range_m", F.when(k % 7 != 0, F.col("range_m")).otherwise(F.array().cast("array<double>")))
+
+
+@query(f"""WITH {SWEEP_GATES}, c AS (SELECT DISTINCT sweep_id, sweep_id % 36 AS ray, greatest(least(sweep_id % 30 + 5 - 8, 24), 0) AS start FROM sweep_gates WHERE sweep_id % 7 <> 0),
+s AS (SELECT sweep_id, count(vel) AS vels, count(dbz) AS dbzs FROM sweep_gates GROUP BY sweep_id),
+w AS (SELECT c.sweep_id, CAST(count(v.dbz) AS DOUBLE) AS n, coalesce(sum(v.dbz), 0.0::DOUBLE) AS dbz, coalesce(sum(v.vel), 0.0::DOUBLE) AS vel, count(v.vel) AS seen
+  FROM c CROSS JOIN (SELECT unnest(range(-3, 4)) AS y) y CROSS JOIN (SELECT unnest(range(0, 16)) AS x) x LEFT JOIN sweep_gates v ON v.sweep_id = c.sweep_id AND v.ray_idx = (c.ray + y.y + 36) % 36 AND v.gate_idx = c.start + x.x GROUP BY c.sweep_id),
+t AS (SELECT w.*, tilt, CASE WHEN tilt = 1 AND (w.sweep_id % 3 = 0 OR w.sweep_id % 5 = 0) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS there FROM w, (SELECT unnest([0, 1]) AS tilt)),
+k AS (SELECT unnest(['DBZ', 'VEL', 'KDP', 'RHOHV', 'ZDR', 'WIDTH', 'range_folded_mask']) AS channel)
+SELECT CAST(sweep_id AS VARCHAR) AS cell_id, CAST(tilt AS INTEGER) AS tilt, channel, there * CASE channel WHEN 'DBZ' THEN dbz / (1 + tilt) WHEN 'VEL' THEN vel WHEN 'KDP' THEN CASE WHEN tilt = 1 THEN dbz / 16 ELSE 0 END
+  WHEN 'RHOHV' THEN dbz / 64 WHEN 'ZDR' THEN vel / 8 WHEN 'WIDTH' THEN 0 ELSE 112 - seen END AS total FROM t, k""")
+def chip_channels(spark, sf_dir):
+    """Sums of every channel and tilt of chips as they are assembled: what is missing is zero, folded gates are marked,
+    and a cell of a volume without gates has no chip."""
+    import pandas as pd
+
+    config = dataclasses.replace(SMALL, chip_azimuth_bins=7, target_elevations=(0.5, 0.9))
+    rays, own = _volumes_of_two(spark, sf_dir)
+    k = F.col("scan_key").cast("long")
+    placed = own.select("scan_key", F.col("scan_key").alias("cell_id"), (k % 36 * 10.0).alias("az_deg"), (k % 30 + 5).cast("double").alias("range_km"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                chip = chips.assembled(r.parts, r.range_lower_m, r.range_upper_m, config)
+                rows += [(r.cell_id, tilt, c, float(chip[c][:, :, tilt].astype("float64").sum())) for c in chips.MODEL_KEYS[:-1] for tilt in (0, 1)]
+            yield pd.DataFrame(rows, columns=["cell_id", "tilt", "channel", "total"])
+
+    parts = chips.chip_parts(placed, rays, own, config).select("cell_id", "parts", "range_lower_m", "range_upper_m")
+    return parts.mapInPandas(run, "cell_id string, tilt int, channel string, total double")
+
+
 @query(f"""WITH {SWEEP_GATES}, c AS (SELECT DISTINCT sweep_id, 5 + sweep_id % 30 AS gate FROM sweep_gates), w AS (SELECT c.sweep_id, greatest(least(gate - 8, 24), 0) AS start FROM c),
 x AS (SELECT sweep_id, i, greatest((greatest(start * 1000.0::DOUBLE - 1000.0::DOUBLE, 0.0::DOUBLE) + 250.0::DOUBLE) * 1e-5::DOUBLE + i * (((start + 15) * 1000.0::DOUBLE + 1000.0::DOUBLE - 250.0::DOUBLE) * 1e-5::DOUBLE - (greatest(start * 1000.0::DOUBLE - 1000.0::DOUBLE, 0.0::DOUBLE) + 250.0::DOUBLE) * 1e-5::DOUBLE) / 15.0::DOUBLE, 2125.0::DOUBLE * 1e-5::DOUBLE) AS r FROM w, (SELECT unnest(range(0, 16)) AS i))
 SELECT CAST(sweep_id AS VARCHAR) AS cell_id, CAST(i AS INTEGER) AS gate, round(r, 5) AS scaled_range, round(1 / r, 3) AS inverse_range FROM x""")
