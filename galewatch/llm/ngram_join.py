@@ -56,8 +56,9 @@ SKETCH_BITS, SKETCH_ROWS = 20, 256
 FEW, BLOCK, CHUNK, GROUP, LEVELS = 16, 512, 512, 512, 4
 #: A list that may be longer, by the sketch, is never gathered (nor if it may be HOT_MEANS times the mean counter).
 HOT, HOT_MEANS = 1 << 20, 4
-#: Bits that say which documents may be asked for their sets (a megabyte, whatever the corpus).
-ASKED_BITS = 23
+#: Bits that say which documents may be asked for their sets: some eight for each that is, so that few others are sent
+#: too, between a megabyte and the 32 MB at which the bitmap stops growing (it then lets more through, and loses none).
+LEAST_BITS, MOST_BITS = 23, 28
 #: DivideSkip's weight of the merge against the probes.
 MU = 0.5
 
@@ -257,10 +258,14 @@ def cell_links(num: int, den: int):
     return run
 
 
-def asked_bitmap(keys: DataFrame) -> np.ndarray:
-    """key (below 2**ASKED_BITS) -> its bits, a megabyte on any input."""
+def bitmap_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+
+
+def asked_bitmap(keys: DataFrame, n_bits: int) -> np.ndarray:
+    """key (below 2**n_bits) -> its bits."""
     rows = keys.groupBy(F.bitmap_bucket_number(F.col("key") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("key") + 1)).alias("bits")).collect()
-    out = np.zeros((1 << ASKED_BITS) // 8 + 4096, dtype=np.uint8)
+    out = np.zeros((1 << n_bits) // 8 + 4096, dtype=np.uint8)
     for b, bits in rows:
         start = (b - 1) * 4096
         out[start : start + len(bits)] = np.frombuffer(bits, np.uint8)
@@ -440,8 +445,9 @@ def gathered(docs: DataFrame, words: int, num: int, den: int) -> Lists:
     pairs, longer = stored(merged_pairs(lists.where(few), num, den), "pairs"), lists.where(~few)
     met = longer.select("class").unionAll(pairs.select(F.explode(F.array("one", "two"))))
     wanted = stored(met.distinct().join(classes, "class"), "wanted")
-    key = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ASKED_BITS)).alias("key")
-    asked = spark.sparkContext.broadcast(asked_bitmap(wanted.select(key("first_id"))))
+    n_bits = bitmap_bits(wanted.count())
+    key = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << n_bits)).alias("key")
+    asked = spark.sparkContext.broadcast(asked_bitmap(wanted.select(key("first_id")), n_bits))
     held = texts.select("text", key("doc_id")).mapInArrow(asked_sets(words, asked), "class long, shingles binary")
     sets = stored(held.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
     return Lists(own, classes, longer, pairs, sets, lengths)

@@ -4,8 +4,9 @@ Only vectors with equal labels are compared. Equal vectors of a label are one cl
 to shards of about SHARD, each shard gets a graph, and every pair of shards of a label is searched: the classes of one
 in the graph of the other. An audit scans blocks of AUDITED queries of each pair of shards until it has seen SEEN links
 (a query's hit on itself is none); while the graph finds less than RECALL of them, beams are widened, at last to a scan.
-Where all queries together have fewer links, the audit was a scan of all, and its links are the result. Cosines are verified in double precision, links
-are counted by class, and components are found over the spanning forests of all pairs of shards.
+Where all queries together have fewer links, the audit was a scan of all, and its links are the result. `audits` tells
+what the audits saw. Cosines are verified in double precision, links are counted by class, and components are found over
+the spanning forests of all pairs of shards.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component, or that has no label, links
 with nothing and is its own component; vectors of other lengths are not compared; a null vec_id takes part, but names a
@@ -28,7 +29,7 @@ THRESHOLD = 0.93
 SHARD = 8192
 AUDITED, SEEN, RECALL = 256, 100, 0.99
 GRAPHS = "label string, size int, shard int, graph binary, classes binary, copies binary, exact binary"
-LINKS = "class long, component long, links long"
+LINKS = "class long, component long, links long, asked long, links_seen long, links_found long, beam long"
 
 
 def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -56,27 +57,33 @@ def audited(queries: np.ndarray, exact: np.ndarray, threshold: float) -> tuple[n
     return drawn[:at], np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
-def pairs_within(graph: Graph, queries: np.ndarray, exact: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a cosine of at least `threshold`, beams widened until the audit passes.
+def pairs_within(graph: Graph, queries: np.ndarray, exact: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]:
+    """(query, node) pairs with a cosine of at least `threshold`, beams widened until the audit passes, and what it saw:
+    queries asked, links of theirs by a scan, how many of them the graph finds, the last beam (0: all were scanned).
 
     A shard searched in itself is given as the same array twice.
     """
     loose = threshold - 1e-4  # single precision proposes, double decides
     width = BEAM
     q = queries.astype(np.float32)
+    audit = (0, 0, 0, 0)
     if 4 * width < len(exact):
         asked, a, b = audited(queries, exact, threshold)
         if len(asked) == len(queries):
-            return a, b
+            return a, b, (len(asked), len(a), len(a), 0)
         true = (a * len(exact) + b)[a != b] if queries is exact else a * len(exact) + b
         while 4 * width < len(exact):
             a, b = graph.within(q[asked], loose, width)
-            if np.isin(true, asked[a] * len(exact) + b).sum() >= RECALL * len(true):
+            hits = int(np.isin(true, asked[a] * len(exact) + b).sum())
+            audit = (len(asked), len(true), hits, width)
+            if hits >= RECALL * len(true):
                 break
             width *= 4
+        else:
+            audit = (len(asked), len(true), len(true), 0)  # beams this wide scan the shard
     a, b = graph.within(q, loose, width)
     cos = np.concatenate([np.einsum("id,id->i", queries[a[i : i + 65536]], exact[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
-    return a[cos >= threshold], b[cos >= threshold]
+    return a[cos >= threshold], b[cos >= threshold], audit
 
 
 def search(threshold: float):
@@ -87,7 +94,7 @@ def search(threshold: float):
         held = [(np.frombuffer(r.classes, np.int64), np.frombuffer(r.copies, np.int64), np.frombuffer(r.exact, np.float64)) for r in rows.itertuples()]
         held = [(c, n, x.reshape(len(c), -1)) for c, n, x in held]
         graph = Graph.from_bytes(rows["graph"].iloc[-1])
-        a, b = pairs_within(graph, held[0][2], held[-1][2], threshold)
+        a, b, audit = pairs_within(graph, held[0][2], held[-1][2], threshold)
         if len(held) == 1:
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
             a, b = pair[:, 0], pair[:, 1]
@@ -99,13 +106,17 @@ def search(threshold: float):
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
         root = classes[local_labels(len(classes), a, b)]
-        return pd.DataFrame({"class": classes, "component": root, "links": links})[links > 0]
+        told = pd.DataFrame({"class": classes, "component": root, "links": links})[links > 0]
+        names = [c.split()[0] for c in LINKS.split(", ")]
+        whole = told.astype("Int64").reindex(columns=names).astype("Int64")  # never through doubles, which can't hold names
+        return pd.concat([whole, pd.DataFrame([[None, None, None, *audit]], columns=names, dtype="Int64")], ignore_index=True)
 
     return run
 
 
-def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
-    """vec_id, embedding (array of numbers), label -> vec_id, n_links, component_id, kept."""
+def searched(rows: DataFrame, threshold: float, shard: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """vec_id, embedding, label -> vectors with their class, classes, and LINKS with label, low and high (all stored). A row
+    of LINKS without class is the audit of its pair of shards."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull()
     named = stored(rows.withColumn("class", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("label", "embedding"))), "vectors")
@@ -117,6 +128,21 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, shard: int = SHA
     met = graphs.join(shards, ["label", "size"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     met = met.withColumn("low", F.least("shard", "other")).withColumn("high", F.greatest("shard", "other")).drop("other", "shards")
     found = stored(met.groupBy("label", "size", "low", "high").applyInPandas(search(threshold), LINKS), "vector_links")
+    return named, classes, found
+
+
+def audits(rows: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+    """vec_id, embedding, label -> pairs of shards, queries asked, links seen and found by the audits, recall (null where
+    nothing was seen), pairs_scanned: those whose result is a scan's and so exact; by beam."""
+    told = searched(rows, threshold, shard)[2].where(F.col("class").isNull())
+    told = told.groupBy("beam").agg(F.count("*").alias("pairs"), *[F.sum(c).alias(c) for c in ("asked", "links_seen", "links_found")])
+    return told.withColumn("recall", F.try_divide("links_found", "links_seen")).withColumn("pairs_scanned", F.when(F.col("beam") == 0, F.col("pairs")).otherwise(0))
+
+
+def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+    """vec_id, embedding (array of numbers), label -> vec_id, n_links, component_id, kept."""
+    named, classes, found = searched(rows, threshold, shard)
+    found = found.where(F.col("class").isNotNull())
     roots = components(found.select(F.col("class").alias("u"), F.col("component").alias("v")))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     told = classes.select("class", "first_id", "copies").join(roots.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))

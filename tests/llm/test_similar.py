@@ -202,7 +202,7 @@ def test_graph_recall():
     graph, order = Graph.built(x.astype(np.float32), rng.random(len(x)))
     x = x[order]
     true = x @ x.T >= 0.93
-    a, b = vector_dedup.pairs_within(Graph.from_bytes(graph.to_bytes()), x, x, 0.93)
+    a, b, _ = vector_dedup.pairs_within(Graph.from_bytes(graph.to_bytes()), x, x, 0.93)
     assert true[a, b].all() and len(set(zip(a, b))) >= 0.98 * true.sum()
     near, _ = graph.beam(x[:200].astype(np.float32), np.zeros((200, 1), np.int32), 64, 0)
     top = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
@@ -247,6 +247,14 @@ def test_vectors_through_graphs(spark, shard):
     assert all(n <= count[i] for i, (n, _) in got.items())  # cosines are verified: no link is made up
     assert found >= 0.99 * sum(count.values()) > 2000  # the recall that audits ask for
     assert sum(got[i][1] == root[i] for i in got) >= 0.99 * len(x)
+    told = vector_dedup.audits(df, shard=shard).collect()
+    pairs = {4096: 1, 500: 10}[shard]  # four shards against each other and themselves
+    assert sum(r["pairs"] for r in told) == pairs and all(r["recall"] is None or r["recall"] >= 0.99 for r in told) and sum(r["links_seen"] for r in told) > 100
+    assert all((r["pairs_scanned"] == r["pairs"]) == (r["beam"] == 0) for r in told)
+
+
+def test_bitmaps_grow_with_what_is_asked():
+    assert [ngram_join.bitmap_bits(n) for n in (0, 1000, 1 << 20, 1 << 22, 1 << 40)] == [23, 23, 24, 26, 28]
 
 
 def brute_repeats(texts, least):
