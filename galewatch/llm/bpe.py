@@ -122,6 +122,7 @@ class Vocabulary(NamedTuple):
     merged: list[int]  # rank -> id
     size: int
     first: list[int]  # byte -> id
+    byte_ranks: list[int]  # two bytes -> the rank of their merge, or the number of merges
     tokens: Tokens
     specials: dict[str, int]
     lookahead: int
@@ -148,16 +149,19 @@ def read_vocabulary(source: bytes, texts: tuple[str, str, str]) -> Vocabulary:
     tokens = Tokens({i: t for t, i in known.items()} | {i: t.encode() for t, i in specials.items()})
     size = max(tokens) + 1
     ranks = {known[x] * size + known[y]: r for r, (x, y) in enumerate(merges)}
+    first = [known[bytes([b])] for b in range(256)]
+    byte_ranks = [ranks.get(x * size + y, len(merges)) for x in first for y in first]
     return Vocabulary(
-        ranks, [known[x + y] for x, y in merges], size, [known[bytes([b])] for b in range(256)], tokens, specials, enough_lookahead(merges), max(map(len, tokens.values())),
+        ranks, [known[x + y] for x, y in merges], size, first, byte_ranks, tokens, specials, enough_lookahead(merges), max(map(len, tokens.values())),
         regex.compile(texts[0]), regex.compile(texts[1]), re.compile(texts[2]), {},
     )
 
 
-def scanned(ids: list[int], v: Vocabulary) -> list[int]:
+def scanned(data: bytes, v: Vocabulary) -> list[int]:
     """All merges of a short window: the lowest rank is looked for after each one, at its first place."""
-    size, none, rank = v.size, len(v.merged), v.ranks.get
-    ranks = [rank(a * size + b, none) for a, b in zip(ids, ids[1:])]
+    size, none, rank, byte_ranks = v.size, len(v.merged), v.ranks.get, v.byte_ranks
+    ids = [v.first[b] for b in data]
+    ranks = [byte_ranks[a << 8 | b] for a, b in zip(data, data[1:])]
     while ranks and (best := min(ranks)) < none:
         i = ranks.index(best)
         ids[i : i + 2] = [v.merged[best]]
@@ -191,8 +195,7 @@ def heaped(ids: list[int], v: Vocabulary) -> list[int]:
 
 
 def window_ids(data: bytes, v: Vocabulary) -> list[int]:
-    ids = [v.first[b] for b in data]
-    return scanned(ids, v) if len(ids) <= SCANNED else heaped(ids, v)
+    return scanned(data, v) if len(data) <= SCANNED else heaped([v.first[b] for b in data], v)
 
 
 class Transducer:
@@ -262,7 +265,9 @@ def encoded(text: str, v: Vocabulary) -> Iterator[list[int]]:
             stop = cut.start() if cut else end
             for some in pretokens(text[rest:stop], v):
                 found = list(map(v.remembered.get, some))
-                yield list(chain.from_iterable(pretoken_ids(w, v) if ids is None else ids for w, ids in zip(some, found)))
+                if None in found:
+                    found = [pretoken_ids(w, v) if ids is None else ids for w, ids in zip(some, found)]
+                yield list(chain.from_iterable(found))
             rest = stop
         if m:
             yield [v.specials[m.group()]]
