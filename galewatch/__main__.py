@@ -26,6 +26,7 @@ def main(arguments: list[str] | None = None) -> None:
     poll = commands.add_parser("poll", parents=[work], help="rounds over the sites that are due")
     poll.add_argument("--folder", required=True, help="folder of the loop's state and results")
     poll.add_argument("--rounds", type=int, help="how many; without end by default")
+    poll.add_argument("--worker", default="0/1", metavar="K/N", help="the sites of one of N processes, K from 0")
     poll.add_argument("--overwrite", action="store_true", help="every site is due at first")
     again = commands.add_parser("reprocess", parents=[work], help="a site's scans of a range of days")
     again.add_argument("--site", required=True)
@@ -54,7 +55,8 @@ def main(arguments: list[str] | None = None) -> None:
         known = known.where(F.col("site_id").isin([s.strip().upper() for s in args.sites]))
     tools = named(args.decoder), named(args.scorer), EngineConfig.from_env()
     if args.command == "poll":
-        polling.run(spark, args.archive, args.folder, known, *tools, rounds=args.rounds, overwrite=args.overwrite)
+        folder, known = polling.share(spark, args.folder, known, *map(int, args.worker.split("/")))
+        polling.run(spark, args.archive, folder, known, *tools, rounds=args.rounds, overwrite=args.overwrite)
     else:
         polling.reprocess(spark, args.archive, args.out, args.site, args.start, args.end or args.start, known, *tools)
 

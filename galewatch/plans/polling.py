@@ -11,7 +11,8 @@ A folder holds all state as Parquet. A round is done once, wherever it is cut of
 
 A round reads the snapshot of sites, the processed keys of the retention time, and what it writes itself, and never a log
 of all rounds: `scans`, `updates`, `results`, `detections` and `attempts` are there for readers. Files of the inbox go
-once they are taken; keys go after the retention time. One process at a time works on a folder.
+once they are taken; keys go after the retention time. One process at a time works on a folder; several deal the sites
+among themselves by `share`.
 """
 
 from __future__ import annotations
@@ -127,6 +128,22 @@ def run(spark: SparkSession, archive: str, folder: str, sites: DataFrame, decode
         done += 1
 
 
+def share(spark: SparkSession, folder: str, sites: DataFrame, worker: int, workers: int) -> tuple[str, DataFrame]:
+    """The folder and the sites of one of several processes that work side by side.
+
+    A site belongs to one worker by a hash of its id, and a worker keeps its state and tables in a folder of its own, so
+    workers share nothing and need no locks. Their number stays: another one would deal sites, and their tracks, anew.
+    """
+    if not 0 <= worker < workers:
+        raise ValueError("workers count from 0")
+    others = [c for c in children(spark, folder) if c.startswith("worker=") and not c.endswith(f"-of-{workers}")]
+    if others or (workers > 1 and path_exists(spark, f"{folder}/sites")):
+        raise ValueError(f"{folder} is dealt to another number of workers")
+    if workers == 1:
+        return folder, sites
+    return f"{folder}/worker={worker}-of-{workers}", sites.where(F.pmod(F.xxhash64("site_id"), F.lit(workers)) == worker)
+
+
 def reprocess(spark: SparkSession, archive: str, out: str, site: str, start: datetime, end: datetime, sites: DataFrame, decoder: volumes.Decoder, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None) -> engine.Processed:
     """A site's scans of a range of days again, oldest first with tracks of their own; results and detections as CSV."""
     config = config or EngineConfig()

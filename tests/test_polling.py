@@ -146,6 +146,22 @@ def test_reprocess_and_pruned_listing(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "out/detections")).count() == 1
 
 
+def test_workers_deal_sites_among_themselves(spark, tmp_path):
+    archive, folder = tmp_path / "archive", str(tmp_path / "state")
+    own = sites.core_sites(spark)
+    shares = [polling.share(spark, folder, own, k, 3) for k in range(3)]
+    ids = [{r["site_id"] for r in s.collect()} for _, s in shares]
+    assert set.union(*ids) == {r["site_id"] for r in own.collect()} and sum(map(len, ids)) == own.count() and len({f for f, _ in shares}) == 3
+    put(archive, "KTLX", START)
+    done = {f: polling.poll(spark, str(archive), f, s, made(), ContrastScorer, SMALL, START + timedelta(minutes=1)).collect() for f, s in shares}
+    assert [{r["site"] for r in done[f]} for f, _ in shares] == ids
+    assert [r["status"] for rows in done.values() for r in rows if r["site"] == "KTLX"] == ["processed"]
+    assert spark.read.option("recursiveFileLookup", "true").schema("scan_time string, site string").parquet(f"{folder}/worker=*/results").count() == 1
+    for wrong in ((0, 2), (0, 1), (3, 3)):
+        with pytest.raises(ValueError):
+            polling.share(spark, folder, own, *wrong)
+
+
 def test_site_list(spark, capsys):
     from galewatch.__main__ import main
 
