@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galewatch.config import EngineConfig
 from galewatch.functions.geo import destination, xy_polar
+from galewatch.functions.tables import stored
 from galewatch.functions.text import probability_label, short_label
 from galewatch.operators.history import active_on, any_window_valid, located
 from galewatch.operators.quality import marker_class, short_reasons
@@ -60,6 +61,25 @@ def track_order() -> list[Column]:
     return [F.col("confirmed_at").isNull(), F.desc("max_prob"), F.col("track_id")]
 
 
+def numbered(rows: DataFrame, order: list[Column], column: str) -> DataFrame:
+    """A table's rows with their place in an order, for tables that are shown whole.
+
+    Places are counted by range partition, so that no task holds the table.
+    """
+    placed = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("_inside", inside).join(offsets, "_range").withColumn(column, (F.col("_before") + F.col("_inside")).cast("int")).drop("_range", "_inside", "_before")
+
+
+def first_match(chosen: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """chosen with the first row, by order, of those of its key; none where there is no such row."""
+    rest = [c for c in rows.columns if c != key]
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return chosen.join(first, key, "left").select(*chosen.columns, *[F.col("_first")[c].alias(c) for c in rest])
+
+
 def replay_summary(per_scan: DataFrame, tracks: DataFrame) -> DataFrame:
     """One row of totals over scan_summary and track_table."""
     a = per_scan.agg(F.count("*").alias("scans"), F.sum("n_raw").alias("raw_hits"))
