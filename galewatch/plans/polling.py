@@ -89,7 +89,7 @@ def finish(spark: SparkSession, folder: str, mark: str, sites: DataFrame, decode
     scans.write.mode("overwrite").parquet(place("scans"))
     if not path_exists(spark, f"{folder}/inbox/{mark}/_SUCCESS"):
         scans.write.mode("overwrite").parquet(f"{folder}/inbox/{mark}")
-    inbox = spark.readStream.schema(SCANS).option("recursiveFileLookup", "true").option("cleanSource", "delete").parquet(f"{folder}/inbox")
+    inbox = spark.readStream.schema(SCANS).option("recursiveFileLookup", "true").parquet(f"{folder}/inbox")
     engine.stream_scans(inbox, place("updates"), f"{folder}/tracker", config).awaitTermination()
     told = spark.read.schema(tracker.OUTPUT).parquet(f"{place('updates')}/batch=*") if path_exists(spark, place("updates")) else spark.createDataFrame([], tracker.OUTPUT)
     updates = stored(told.select(*names(UPDATES), "created_at", "confirmed_at", "observations"), "updates")
@@ -103,6 +103,7 @@ def finish(spark: SparkSession, folder: str, mark: str, sites: DataFrame, decode
     states = snapshot.read(spark, f"{folder}/sites", SITE_STATES)
     states = schedule.site_states(schedule.continued(states, noted, config)).withColumn("finished_at", F.lit(now))
     snapshot.merge(states.select(*names(SITE_STATES)), f"{folder}/sites", ["site"], ["seq"])
+    remove(spark, f"{folder}/inbox/{mark}")  # taken, and the tracker's checkpoint says so
     remove(spark, f"{folder}/pending/{mark}/_SUCCESS")  # the round ends with this
     remove(spark, f"{folder}/pending/{mark}")
     return noted

@@ -68,7 +68,7 @@ def test_rounds(spark, tmp_path):
     assert set(round_at(6.6, overwrite=True)) == names  # every site is due again
 
 
-@pytest.mark.parametrize("where", ["stream_scans", "scan_outcomes", "merge", "remove"])
+@pytest.mark.parametrize("where", ["stream_scans", "scan_outcomes", "merge", "remove"])  # remove: after all tables are written
 def test_a_round_that_is_cut_off_is_done_once(spark, tmp_path, monkeypatch, where):
     """A round fails at some step, the next call comes later: every scan is once in every table, and one scan alone confirms nothing."""
     archive, folder = tmp_path / "archive", str(tmp_path / "state")
@@ -122,6 +122,7 @@ def test_rounds_read_no_logs(spark, tmp_path):
         at = START + timedelta(days=k)
         put(archive, "KTLX", at)
         polling.poll(spark, str(archive), folder, own, made(), ContrastScorer, config, at + timedelta(minutes=1))
+    assert children(spark, f"{folder}/inbox") == children(spark, f"{folder}/pending") == []
     assert len(children(spark, f"{folder}/processed")) == 2 and len(children(spark, f"{folder}/attempts")) == 4
     states = polling.snapshot.read(spark, f"{folder}/sites", polling.SITE_STATES)
     assert states.count() == 1 and len(states.inputFiles()) == 1
