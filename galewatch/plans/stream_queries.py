@@ -95,7 +95,7 @@ def stream_due_sites(spark, sf_dir):
 
 
 @query(OPEN_SQL)
-def open_tracks_saved(spark, sf_dir):
+def saved_open_tracks(spark, sf_dir):
     """Open tracks read out of the state store of the tracker's stream."""
     rows = scans(candidates(spark, sf_dir))
     parts = [p.drop("s") for p in halves(rows.withColumn("s", F.unix_seconds("scan_time")), "s")]

@@ -17,7 +17,7 @@ from galewatch.streaming.stores import PROVIDER, rocksdb
 START = datetime(2024, 5, 1)
 
 
-@pytest.mark.parametrize("name", ["stream_sliding_dedup", "stream_due_sites", "open_tracks_saved", "latest_snapshot"])
+@pytest.mark.parametrize("name", ["stream_sliding_dedup", "stream_due_sites", "saved_open_tracks", "latest_snapshot"])
 def test_queries_equal_sql(spark, name):
     assert same(spark, SMALL, getattr(queries, name), ORACLES[name]) > 0
 
