@@ -17,6 +17,7 @@ def named(name: str):
 
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="galewatch", description=__doc__.splitlines()[0])
+    parser.add_argument("--locations", help="file of radar locations; the core sites alone without")
     commands = parser.add_subparsers(dest="command", required=True)
     work = argparse.ArgumentParser(add_help=False)
     work.add_argument("--archive", required=True, help="folder of volumes, yyyy/mm/dd/SITE below it")
@@ -44,7 +45,8 @@ def main(arguments: list[str] | None = None) -> None:
     from galewatch.sources import sites as catalog
 
     spark = SparkSession.builder.appName("galewatch").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    known = catalog.build_catalog(spark)
+    found = catalog.read_locations(spark, args.locations) if args.locations else None
+    known = catalog.build_catalog(spark, found, include_terminal=EngineConfig.from_env().include_tdwr)
     if args.command == "sites":
         lines = [r["line"] for r in catalog.listing(known).collect()]  # one for each radar
         print("\n".join([*lines, f"{len(lines)} sites"]))

@@ -75,7 +75,11 @@ def unfinished(spark: SparkSession, folder: str) -> list[str]:
     return [m for m in children(spark, f"{folder}/pending") if path_exists(spark, f"{folder}/pending/{m}/_SUCCESS")]
 
 
-def finish(spark: SparkSession, folder: str, mark: str, sites: DataFrame, decoder: volumes.Decoder, make_scorer: Callable[[], Scorer], config: EngineConfig) -> DataFrame:
+#: RAYS, VOLUMES, make_scorer, config -> scored cells, as engine.scored_cells gives them.
+Process = Callable[[DataFrame, DataFrame, Callable[[], Scorer], EngineConfig], DataFrame]
+
+
+def finish(spark: SparkSession, folder: str, mark: str, sites: DataFrame, decoder: volumes.Decoder, make_scorer: Callable[[], Scorer], config: EngineConfig, process: Process = engine.scored_cells) -> DataFrame:
     """Does what the round's note says, whatever of it was done before; gives its attempts."""
     now = datetime.strptime(mark, ID)
     place = lambda table: f"{folder}/{table}/day={now:%Y%m%d}/round={mark}"
@@ -84,7 +88,7 @@ def finish(spark: SparkSession, folder: str, mark: str, sites: DataFrame, decode
     chosen = plan.where(F.col("key").isNotNull()).select(*names(SCAN_CATALOG))
     decoded = volumes.decode(volumes.contents(spark, chosen), decoder)
     vols = decoded.volumes
-    cells = stored(engine.scored_cells(decoded.rays, vols, make_scorer, config), "cells")
+    cells = stored(process(decoded.rays, vols, make_scorer, config), "cells")
     scans = stored(tracker.scans_of(cells, vols.select("site", "scan_key", "scan_time")).select("site", "scan_time", "candidates"), "scans")
     scans.write.mode("overwrite").parquet(place("scans"))
     if not path_exists(spark, f"{folder}/inbox/{mark}/_SUCCESS"):
@@ -109,23 +113,23 @@ def finish(spark: SparkSession, folder: str, mark: str, sites: DataFrame, decode
     return noted
 
 
-def poll(spark: SparkSession, archive: str, folder: str, sites: DataFrame, decoder: volumes.Decoder, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None, now: datetime | None = None, overwrite: bool = False) -> DataFrame:
-    """One round over SITES, after those that were cut off; gives its attempts."""
+def poll(spark: SparkSession, archive: str, folder: str, sites: DataFrame, decoder: volumes.Decoder, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None, now: datetime | None = None, overwrite: bool = False, process: Process = engine.scored_cells) -> DataFrame:
+    """One round over SITES, after those that were cut off; gives its attempts. process: what is done with its scans."""
     config = config or EngineConfig()
     for mark in unfinished(spark, folder):
-        finish(spark, folder, mark, sites, decoder, make_scorer, config)
+        finish(spark, folder, mark, sites, decoder, make_scorer, config, process)
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     mark = begin(spark, archive, folder, sites, now, config, overwrite)
-    return finish(spark, folder, mark, sites, decoder, make_scorer, config)
+    return finish(spark, folder, mark, sites, decoder, make_scorer, config, process)
 
 
-def run(spark: SparkSession, archive: str, folder: str, sites: DataFrame, decoder: volumes.Decoder, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None, rounds: int | None = None, overwrite: bool = False) -> None:
+def run(spark: SparkSession, archive: str, folder: str, sites: DataFrame, decoder: volumes.Decoder, make_scorer: Callable[[], Scorer], config: EngineConfig | None = None, rounds: int | None = None, overwrite: bool = False, process: Process = engine.scored_cells) -> None:
     """Round after round, waiting in between for the hottest poll interval; overwrite holds for the first."""
     config, done = config or EngineConfig(), 0
     while rounds is None or done < rounds:
         if done:
             time.sleep(config.hot_poll_seconds)
-        poll(spark, archive, folder, sites, decoder, make_scorer, config, overwrite=overwrite and done == 0)
+        poll(spark, archive, folder, sites, decoder, make_scorer, config, overwrite=overwrite and done == 0, process=process)
         done += 1
 
 

@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from galewatch.functions.tables import path_exists
 from galewatch.functions.text import site_key
 from galewatch.sources.site_tables import CORE_SITES, SITE_NAMES, SITE_TIMEZONES, STATE_TIMEZONES
 
@@ -48,6 +49,27 @@ def base_catalog(locations: DataFrame, include_terminal: bool = False) -> DataFr
     return rows.select("site_id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), elevation_ft(F.col("elev")).alias("elev_ft"), display_name(key).alias("name"), site_timezone(key).alias("timezone"))
 
 
+def read_locations(spark: SparkSession, path: str) -> DataFrame | None:
+    """A location table (site_id, lat, lon, elev) from Parquet, CSV with a header, or a text in which sites stand as
+    'KABC': {'lat': 1.5, 'lon': -2.5, 'elev': 300}, such as JSON or a module's source; None where the file isn't there or
+    has no site. A missing elevation is null; of repeated sites the last one counts.
+    """
+    if not path_exists(spark, path):
+        return None
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind in ("parquet", "csv"):
+        rows = spark.read.parquet(path) if kind == "parquet" else spark.read.option("header", "true").csv(path)
+        rows = rows.select("site_id", *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "elev")])
+    else:
+        found = F.regexp_extract_all("value", F.lit(r"""['"][A-Z0-9]{4}['"]\s*+:\s*+\{[^{}]*+\}"""), F.lit(0))
+        entries = spark.read.text(path, wholetext=True).select(F.posexplode(found).alias("place", "entry"))
+        number = lambda c: F.regexp_extract("entry", rf"""['"]{c}['"]\s*+:\s*+(-?[0-9.]++)""", 1).try_cast("double").alias(c)
+        rows = entries.select(F.substring("entry", 2, 4).alias("site_id"), "place", number("lat"), number("lon"), number("elev"))
+        rows = rows.groupBy("site_id").agg(F.max_by(F.struct("lat", "lon", "elev"), "place").alias("l")).select("site_id", "l.*")
+    rows = rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return None if rows.isEmpty() else rows
+
+
 def overlaid(base: DataFrame, overrides: DataFrame, key: str = "site_id") -> DataFrame:
     """Full outer merge: an override's column counts where it isn't null, the base's elsewhere."""
     columns = [c for c in base.columns if c != key]

@@ -8,7 +8,7 @@ from conftest import SMALL, same
 
 from galewatch.plans import reports, round_queries
 from galewatch.plans.catalog import ORACLES
-from galewatch.sources import places
+from galewatch.sources import places, sites
 
 ROWS = [("Tulsa", -95.99, 36.15, 413066), ("Ñandú", -60.5, -30.25, None), ("Zero", 0.0, 0.0, 0)]
 
@@ -45,6 +45,22 @@ def test_other_shapes_are_refused():
         places.points(b"\0" * 100 + struct.pack(">2i", 1, 10) + struct.pack("<i2d", 5, 1.0, 2.0))
 
 
+def test_locations_from_files(spark, tmp_path):
+    (tmp_path / "source.py").write_text("""X = 1\nLOCATIONS = {\n  "KTLX": {"lat": 35.5, "lon": -97.25, "elev": 1213},\n  'TOKC': {'lat': 35.25, 'lon': -97.5, 'elev': -99999},
+      "KZZZ": {"lat": 1.0, "lon": 2.0}, "KBAD": {"lat": "x"}, "KZZZ": {"lat": 3.0, "lon": 2.0}}\n""")
+    got = sites.read_locations(spark, str(tmp_path / "source.py"))
+    assert sorted(map(tuple, got.collect())) == [("KTLX", 35.5, -97.25, 1213.0), ("KZZZ", 3.0, 2.0, None), ("TOKC", 35.25, -97.5, -99999.0)]
+    got.write.parquet(str(tmp_path / "l.parquet"))
+    got.write.option("header", "true").csv(str(tmp_path / "l.csv"))
+    for name in ("l.parquet", "l.csv"):
+        assert sorted(map(tuple, sites.read_locations(spark, str(tmp_path / name)).collect())) == sorted(map(tuple, got.collect()))
+    (tmp_path / "empty.py").write_text("pass")
+    assert sites.read_locations(spark, str(tmp_path / "none.py")) is None is sites.read_locations(spark, str(tmp_path / "empty.py"))
+    known = {r["site_id"]: r for r in sites.build_catalog(spark, got).collect()}
+    assert "TOKC" not in known and known["KZZZ"]["elev_ft"] is None and known["KTLX"]["lat"] == 35.3331  # the checked core sites go first
+    assert {r["site_id"]: r["elev_ft"] for r in sites.build_catalog(spark, got, include_terminal=True).collect()}["TOKC"] is None
+
+
 @pytest.mark.parametrize("name", ["seeded_queue", "tracks_in_order", "padded_results", "selected_chip", "latest_tracks", "polling_rounds"])
 def test_queries_equal_sql(spark, name):
     assert same(spark, SMALL, getattr(round_queries, name), ORACLES[name]) > 0

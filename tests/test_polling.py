@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from galewatch.config import EngineConfig
 from galewatch.functions.tables import children
@@ -156,8 +157,14 @@ def test_workers_deal_sites_among_themselves(spark, tmp_path):
     put(archive, "KTLX", START)
     done = {f: polling.poll(spark, str(archive), f, s, made(), ContrastScorer, SMALL, START + timedelta(minutes=1)).collect() for f, s in shares}
     assert [{r["site"] for r in done[f]} for f, _ in shares] == ids
-    assert [r["status"] for rows in done.values() for r in rows if r["site"] == "KTLX"] == ["processed"]
+    assert [(r["status"], r["raw_detections"]) for rows in done.values() for r in rows if r["site"] == "KTLX"] == [("processed", 1)]
     assert spark.read.option("recursiveFileLookup", "true").schema("scan_time string, site string").parquet(f"{folder}/worker=*/results").count() == 1
+    # What is done with scans can be another function: here one that finds nothing over the threshold.
+    put(archive, "KTLX", START + timedelta(minutes=5))
+    weaker = lambda *args: polling.engine.scored_cells(*args).withColumns({"probability": F.lit(0.0), "above_threshold": F.lit(False)})
+    f, s = next(x for x, names in zip(shares, ids) if "KTLX" in names)
+    later = polling.poll(spark, str(archive), f, s, made(), ContrastScorer, SMALL, START + timedelta(minutes=6), overwrite=True, process=weaker).collect()
+    assert [(r["status"], r["raw_detections"]) for r in later if r["site"] == "KTLX"] == [("processed", 0)]
     for wrong in ((0, 2), (0, 1), (3, 3)):
         with pytest.raises(ValueError):
             polling.share(spark, folder, own, *wrong)
