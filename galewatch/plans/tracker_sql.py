@@ -24,6 +24,56 @@ def last(items: str, n: int) -> str:
     return f"list_slice({items}, greatest(len({items}) - {n - 1}, 1), len({items}))"
 
 
+#: What a scan does to a site's tracks, step by step. Each step is columns over those of the steps before it.
+STEPS = (
+    # Last and last but one place of each track, and its last peak.
+    f"""list_transform(own, lambda r: {{'n': len(r.real), 'a': r.real[len(r.real)], 'b': r.real[greatest(len(r.real) - 1, 1)], 'l': r.lit[len(r.lit)]}}) AS ends""",
+    # Where each track leads: its last place, carried on by its last velocity.
+    f"""list_transform(ends, lambda e: {{'lx': e.l.ax, 'ly': e.l.ay, 'reach': 15.0::DOUBLE + 120.0::DOUBLE * greatest(0.0::DOUBLE, (tm - e.a.tm) / 3600.0::DOUBLE),
+    'x': CASE WHEN e.n > 1 AND tm > e.a.tm AND e.a.tm > e.b.tm THEN e.a.x + (e.a.x - e.b.x) / ((e.a.tm - e.b.tm) / 3600.0::DOUBLE) * ((tm - e.a.tm) / 3600.0::DOUBLE) ELSE e.a.x END,
+    'y': CASE WHEN e.n > 1 AND tm > e.a.tm AND e.a.tm > e.b.tm THEN e.a.y + (e.a.y - e.b.y) / ((e.a.tm - e.b.tm) / 3600.0::DOUBLE) * ((tm - e.a.tm) / 3600.0::DOUBLE) ELSE e.a.y END}}) AS lead""",
+    # Distances of every candidate from where every track leads.
+    f"""flatten(list_transform(range(1, len(lead) + 1), lambda k: list_transform(range(1, len(cands) + 1), lambda i: {{'c': i, 't': k, 'reach': lead[k].reach,
+    'd': sqrt((cands[i].x - lead[k].x) * (cands[i].x - lead[k].x) + (cands[i].y - lead[k].y) * (cands[i].y - lead[k].y)),
+    'apart': sqrt((cands[i].ax - lead[k].lx) * (cands[i].ax - lead[k].lx) + (cands[i].ay - lead[k].ly) * (cands[i].ay - lead[k].ly))}}))) AS near""",
+    # Costs of pairs within reach, none beyond.
+    f"""list_transform(near, lambda q: {{'cost': CASE WHEN q.d <= q.reach AND coalesce(q.apart <= 45.0::DOUBLE, true) THEN q.d + 0.35::DOUBLE * coalesce(q.apart, 0.0::DOUBLE) END, 'c': q.c, 't': q.t}}) AS costs""",
+    # Pairs in reach, by cost.
+    f"""list_transform(list_sort(list_filter(costs, lambda q: q.cost IS NOT NULL)), lambda q: {{'cs': [q.c], 'ts': [q.t]}}) AS pairs""",
+    # The greedy choice: pairs by least cost, each candidate and track once.
+    f"""CASE WHEN len(pairs) = 0 THEN {{'cs': CAST([] AS BIGINT[]), 'ts': CAST([] AS BIGINT[])}} ELSE list_reduce(pairs, lambda a, b: CASE WHEN list_has_any(a.cs, b.cs) OR list_has_any(a.ts, b.ts) THEN a ELSE {{'cs': list_concat(a.cs, b.cs), 'ts': list_concat(a.ts, b.ts)}} END) END AS m""",
+    # Candidates that start tracks, and old tracks with what they saw or a miss.
+    f"""list_filter(range(1, len(cands) + 1), lambda i: cands[i].above AND NOT list_contains(m.cs, i)) AS fresh,
+  list_transform(range(1, len(tracks) + 1), lambda k: {{'id': tracks[k].id, 'created': tracks[k].created, 'confirmed': tracks[k].confirmed, 'met': list_contains(m.ts, k),
+    'obs': list_append(tracks[k].obs, CASE WHEN list_contains(m.ts, k) THEN {seen("m.cs[list_position(m.ts, k)]")} ELSE {_miss} END)}}) AS tracks1""",
+    # Old tracks cut to their history, then those that start.
+    f"""list_concat(list_transform(tracks1, lambda t: {{'id': t.id, 'created': t.created, 'confirmed': t.confirmed, 'obs': {last("t.obs", 6)}, 'met': t.met}}),
+  list_transform(fresh, lambda i: {{'id': site || '-' || strftime(TIMESTAMP '1970-01-01' + to_seconds(tm), '%Y%m%d%H%M%S') || printf('-T%04d', counter + list_position(fresh, i)), 'created': tm, 'confirmed': CAST(NULL AS BIGINT), 'obs': [{seen("i")}], 'met': true}})) AS tracks2""",
+    # Hits in the window of each track.
+    f"""list_transform(tracks2, lambda t: {{'id': t.id, 'created': t.created, 'confirmed': t.confirmed, 'obs': t.obs, 'met': t.met, 'hits': len(list_filter({last("t.obs", 3)}, lambda o: o.above))}}) AS tracks3""",
+    # Which tracks are confirmed by this scan, and whose candidate each one is.
+    f"""list_transform(tracks3, lambda t: {{'id': t.id, 'created': t.created, 'obs': t.obs, 'hits': t.hits, 'fresh': t.met AND t.confirmed IS NULL AND t.hits >= 2, 'confirmed': CASE WHEN t.met AND t.confirmed IS NULL AND t.hits >= 2 THEN tm ELSE t.confirmed END}}) AS tracks4,
+  list_transform(range(1, len(cands) + 1), lambda i: {{'i': i, 'k': CASE WHEN list_contains(m.cs, i) THEN m.ts[list_position(m.cs, i)] WHEN list_contains(fresh, i) THEN len(tracks) + list_position(fresh, i) END}}) AS whose""",
+)
+
+
+def nested(source: str, steps: tuple[str, ...]) -> str:
+    for columns in steps:
+        source = f"(SELECT *, {columns}\nFROM {source})"
+    return source
+
+
+#: A site's open tracks beside its next scan.
+NEXT_SCAN = f"""(SELECT scan.site, scan.n, scan.tm, scan.cands, run.tracks, run.counter, list_transform(run.tracks, lambda t: {{'real': list_filter(t.obs, lambda o: NOT o.missed), 'lit': list_filter(t.obs, lambda o: NOT o.missed AND o.ax IS NOT NULL)}}) AS own
+  FROM run JOIN scan ON scan.site = run.site AND scan.n = run.n + 1)"""
+#: The state after a scan: tracks without too many misses, the counter of ids, and an update for each candidate.
+AFTER = f"""list_transform(list_filter(tracks4, lambda t: len(list_filter({last("t.obs", 3)}, lambda o: o.missed)) < 3), lambda t: CAST({{'id': t.id, 'created': t.created, 'confirmed': t.confirmed, 'obs': t.obs}} AS {TRACK})) AS tracks,
+  counter + len(fresh) AS counter,
+  list_transform(whose, lambda w: CAST({{'c': cands[w.i].c, 'id': cands[w.i].id, 'track': tracks4[w.k].id,
+    'status': CASE WHEN w.k IS NULL THEN 'below_threshold' WHEN tracks4[w.k].fresh THEN 'newly_confirmed' WHEN tracks4[w.k].confirmed IS NOT NULL THEN 'confirmed' WHEN cands[w.i].above THEN 'pending' ELSE 'tracked_below_threshold' END,
+    'hits': coalesce(tracks4[w.k].hits, 0), 'win': CASE WHEN w.k IS NULL THEN 0 ELSE least(3, len(tracks4[w.k].obs)) END, 'fresh': coalesce(tracks4[w.k].fresh, false), 'created': tracks4[w.k].created, 'confirmed': tracks4[w.k].confirmed,
+    'n': len(list_filter(tracks4[w.k].obs, lambda o: NOT o.missed)), 'most': list_max(list_transform(tracks4[w.k].obs, lambda o: o.p)), 'most_real': list_max(list_transform(list_filter(tracks4[w.k].obs, lambda o: NOT o.missed), lambda o: o.p))}} AS {UPDATE})) AS upd"""
+
 TRACKER = f"""{CAND},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY site, scan_no ORDER BY dbz_max DESC, event_id) - 1 AS c, range_km * sin(radians(az_deg)) AS x, range_km * cos(radians(az_deg)) AS y,
   activation_range_km * sin(radians(activation_az_deg)) AS ax, activation_range_km * cos(radians(activation_az_deg)) AS ay FROM cand),
@@ -31,32 +81,8 @@ scan AS (SELECT site, scan_no * 300 + {EPOCH} AS tm, row_number() OVER (PARTITIO
   list({{'c': c, 'id': CAST(event_id AS VARCHAR), 'p': probability, 'above': probability >= 0.6::DOUBLE, 'x': x, 'y': y, 'ax': ax, 'ay': ay}} ORDER BY c) AS cands FROM ranked GROUP BY site, scan_no),
 run AS (SELECT site, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS tm, CAST([] AS {TRACK}[]) AS tracks, CAST(0 AS BIGINT) AS counter, CAST([] AS {UPDATE}[]) AS upd FROM (SELECT DISTINCT site FROM scan)
 UNION ALL SELECT site, n, tm,
-  list_transform(list_filter(tracks4, lambda t: len(list_filter({last("t.obs", 3)}, lambda o: o.missed)) < 3), lambda t: CAST({{'id': t.id, 'created': t.created, 'confirmed': t.confirmed, 'obs': t.obs}} AS {TRACK})) AS tracks,
-  counter + len(fresh) AS counter,
-  list_transform(whose, lambda w: CAST({{'c': cands[w.i].c, 'id': cands[w.i].id, 'track': tracks4[w.k].id,
-    'status': CASE WHEN w.k IS NULL THEN 'below_threshold' WHEN tracks4[w.k].fresh THEN 'newly_confirmed' WHEN tracks4[w.k].confirmed IS NOT NULL THEN 'confirmed' WHEN cands[w.i].above THEN 'pending' ELSE 'tracked_below_threshold' END,
-    'hits': coalesce(tracks4[w.k].hits, 0), 'win': CASE WHEN w.k IS NULL THEN 0 ELSE least(3, len(tracks4[w.k].obs)) END, 'fresh': coalesce(tracks4[w.k].fresh, false), 'created': tracks4[w.k].created, 'confirmed': tracks4[w.k].confirmed,
-    'n': len(list_filter(tracks4[w.k].obs, lambda o: NOT o.missed)), 'most': list_max(list_transform(tracks4[w.k].obs, lambda o: o.p)), 'most_real': list_max(list_transform(list_filter(tracks4[w.k].obs, lambda o: NOT o.missed), lambda o: o.p))}} AS {UPDATE})) AS upd
-FROM (SELECT *, list_transform(tracks3, lambda t: {{'id': t.id, 'created': t.created, 'obs': t.obs, 'hits': t.hits, 'fresh': t.met AND t.confirmed IS NULL AND t.hits >= 2, 'confirmed': CASE WHEN t.met AND t.confirmed IS NULL AND t.hits >= 2 THEN tm ELSE t.confirmed END}}) AS tracks4,
-  list_transform(range(1, len(cands) + 1), lambda i: {{'i': i, 'k': CASE WHEN list_contains(m.cs, i) THEN m.ts[list_position(m.cs, i)] WHEN list_contains(fresh, i) THEN len(tracks) + list_position(fresh, i) END}}) AS whose
-FROM (SELECT *, list_transform(tracks2, lambda t: {{'id': t.id, 'created': t.created, 'confirmed': t.confirmed, 'obs': t.obs, 'met': t.met, 'hits': len(list_filter({last("t.obs", 3)}, lambda o: o.above))}}) AS tracks3
-FROM (SELECT *, list_concat(list_transform(tracks1, lambda t: {{'id': t.id, 'created': t.created, 'confirmed': t.confirmed, 'obs': {last("t.obs", 6)}, 'met': t.met}}),
-  list_transform(fresh, lambda i: {{'id': site || '-' || strftime(TIMESTAMP '1970-01-01' + to_seconds(tm), '%Y%m%d%H%M%S') || printf('-T%04d', counter + list_position(fresh, i)), 'created': tm, 'confirmed': CAST(NULL AS BIGINT), 'obs': [{seen("i")}], 'met': true}})) AS tracks2
-FROM (SELECT *, list_filter(range(1, len(cands) + 1), lambda i: cands[i].above AND NOT list_contains(m.cs, i)) AS fresh,
-  list_transform(range(1, len(tracks) + 1), lambda k: {{'id': tracks[k].id, 'created': tracks[k].created, 'confirmed': tracks[k].confirmed, 'met': list_contains(m.ts, k),
-    'obs': list_append(tracks[k].obs, CASE WHEN list_contains(m.ts, k) THEN {seen("m.cs[list_position(m.ts, k)]")} ELSE {_miss} END)}}) AS tracks1
-FROM (SELECT *, CASE WHEN len(pairs) = 0 THEN {{'cs': CAST([] AS BIGINT[]), 'ts': CAST([] AS BIGINT[])}} ELSE list_reduce(pairs, lambda a, b: CASE WHEN list_has_any(a.cs, b.cs) OR list_has_any(a.ts, b.ts) THEN a ELSE {{'cs': list_concat(a.cs, b.cs), 'ts': list_concat(a.ts, b.ts)}} END) END AS m
-FROM (SELECT *, list_transform(list_sort(list_filter(costs, lambda q: q.cost IS NOT NULL)), lambda q: {{'cs': [q.c], 'ts': [q.t]}}) AS pairs
-FROM (SELECT *, list_transform(near, lambda q: {{'cost': CASE WHEN q.d <= q.reach AND coalesce(q.apart <= 45.0::DOUBLE, true) THEN q.d + 0.35::DOUBLE * coalesce(q.apart, 0.0::DOUBLE) END, 'c': q.c, 't': q.t}}) AS costs
-FROM (SELECT *, flatten(list_transform(range(1, len(lead) + 1), lambda k: list_transform(range(1, len(cands) + 1), lambda i: {{'c': i, 't': k, 'reach': lead[k].reach,
-    'd': sqrt((cands[i].x - lead[k].x) * (cands[i].x - lead[k].x) + (cands[i].y - lead[k].y) * (cands[i].y - lead[k].y)),
-    'apart': sqrt((cands[i].ax - lead[k].lx) * (cands[i].ax - lead[k].lx) + (cands[i].ay - lead[k].ly) * (cands[i].ay - lead[k].ly))}}))) AS near
-FROM (SELECT *, list_transform(ends, lambda e: {{'lx': e.l.ax, 'ly': e.l.ay, 'reach': 15.0::DOUBLE + 120.0::DOUBLE * greatest(0.0::DOUBLE, (tm - e.a.tm) / 3600.0::DOUBLE),
-    'x': CASE WHEN e.n > 1 AND tm > e.a.tm AND e.a.tm > e.b.tm THEN e.a.x + (e.a.x - e.b.x) / ((e.a.tm - e.b.tm) / 3600.0::DOUBLE) * ((tm - e.a.tm) / 3600.0::DOUBLE) ELSE e.a.x END,
-    'y': CASE WHEN e.n > 1 AND tm > e.a.tm AND e.a.tm > e.b.tm THEN e.a.y + (e.a.y - e.b.y) / ((e.a.tm - e.b.tm) / 3600.0::DOUBLE) * ((tm - e.a.tm) / 3600.0::DOUBLE) ELSE e.a.y END}}) AS lead
-FROM (SELECT *, list_transform(own, lambda r: {{'n': len(r.real), 'a': r.real[len(r.real)], 'b': r.real[greatest(len(r.real) - 1, 1)], 'l': r.lit[len(r.lit)]}}) AS ends
-FROM (SELECT scan.site, scan.n, scan.tm, scan.cands, run.tracks, run.counter, list_transform(run.tracks, lambda t: {{'real': list_filter(t.obs, lambda o: NOT o.missed), 'lit': list_filter(t.obs, lambda o: NOT o.missed AND o.ax IS NOT NULL)}}) AS own
-  FROM run JOIN scan ON scan.site = run.site AND scan.n = run.n + 1)))))))))))),
+{AFTER}
+FROM {nested(NEXT_SCAN, STEPS)}),
 updates AS (SELECT site, tm, u.* FROM (SELECT site, tm, unnest(upd) AS u FROM run))"""
 
 
