@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from galewatch.functions.bind import held
 from galewatch.functions.tables import shared_dir, stored
 
-__all__ = ["CONTEXT", "SPACE", "SPAN", "joined_spans", "n_words", "running_total", "shared_dir", "stored", "table", "text_of", "with_spans"]
+__all__ = ["CONTEXT", "SPACE", "SPAN", "bitmap_bits", "joined_spans", "n_words", "running_total", "shared_dir", "stored", "table", "text_of", "with_spans"]
 
 #: What separates words everywhere in this subpackage: space and TAB to CR.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bits that say which documents may be asked for: some eight for each that is, so that few others are sent too, between a
+#: megabyte and the 32 MB at which a bitmap stops growing (it then lets more through, and loses none).
+LEAST_BITS, MOST_BITS = 23, 28
+
+
+def bitmap_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

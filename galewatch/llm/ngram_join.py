@@ -44,7 +44,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galewatch.llm.common import stored, table
+from galewatch.llm.common import bitmap_bits, stored, table
 from galewatch.llm.components import components, local_labels
 from galewatch.llm.wordarrays import byte_texts, mixed, shingle_set
 
@@ -56,9 +56,6 @@ SKETCH_BITS, SKETCH_ROWS = 20, 256
 FEW, BLOCK, CHUNK, GROUP, LEVELS = 16, 512, 512, 512, 4
 #: A list that may be longer, by the sketch, is never gathered (nor if it may be HOT_MEANS times the mean counter).
 HOT, HOT_MEANS = 1 << 20, 4
-#: Bits that say which documents may be asked for their sets: some eight for each that is, so that few others are sent
-#: too, between a megabyte and the 32 MB at which the bitmap stops growing (it then lets more through, and loses none).
-LEAST_BITS, MOST_BITS = 23, 28
 #: DivideSkip's weight of the merge against the probes.
 MU = 0.5
 
@@ -258,10 +255,6 @@ def cell_links(num: int, den: int):
     return run
 
 
-def bitmap_bits(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
-
-
 def asked_bitmap(keys: DataFrame, n_bits: int) -> np.ndarray:
     """key (below 2**n_bits) -> its bits."""
     rows = keys.groupBy(F.bitmap_bucket_number(F.col("key") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("key") + 1)).alias("bits")).collect()

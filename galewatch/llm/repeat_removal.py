@@ -31,14 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galewatch.llm.common import stored, table, text_of
+from galewatch.llm.common import bitmap_bits, stored, table, text_of
 from galewatch.llm.wordarrays import byte_texts, chunks
 
 LEAST, GRAM = 200, 32
 #: Contexts of one gram that are indexed in one piece, and contexts that are indexed at once.
 MOST, TOGETHER = 20_000, 8192
-#: Bits that say which documents' texts are asked for (a megabyte, whatever the corpus).
-ASKED_BITS = 23
 CONTEXT = "gram long, name long, class long, at int, low int, high int, content binary"
 
 
@@ -288,11 +286,12 @@ def merged(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, text; class, first_id, ... -> class, text, ...: a text for each class that is asked for.
 
-    A bitmap of fixed size, broadcast, keeps most other texts out of the join's shuffle.
+    A bitmap of bounded size (common.bitmap_bits), broadcast, keeps most other texts out of the join's shuffle.
     """
-    key = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(1 << ASKED_BITS)) + 1
+    n_bits = bitmap_bits(wanted.count())
+    key = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(1 << n_bits)) + 1
     bits = wanted.select(key("class").alias("key")).groupBy(F.bitmap_bucket_number("key").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("_bits"))
-    bits = stored(bits.select(F.col("_bucket"), "_bits"), "asked")  # 2**ASKED_BITS / 32768 rows of 4 KB at most
+    bits = stored(bits.select(F.col("_bucket"), "_bits"), "asked")  # 2**n_bits / 32768 rows of 4 KB at most
     texts = docs.select(F.col("doc_id").alias("_id"), text_of().alias("text")).withColumn("_class", F.xxhash64("text"))
     texts = texts.withColumn("_bucket", F.bitmap_bucket_number(key("_class"))).withColumn("_bit", F.bitmap_bit_position(key("_class")))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
