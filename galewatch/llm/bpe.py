@@ -38,17 +38,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galewatch.llm.common import table
-from galewatch.llm.wordarrays import chunks
 
 #: Bytes of a window beyond the lookahead; characters of a piece of text; pre-tokens that are remembered, and how long
 #: they may be; pre-tokens that are looked up at once; bytes of a tokenizer file.
-STEP, PIECE, REMEMBERED, SHORT, BATCH, MOST_FILE = 2048, 1 << 16, 1 << 19, 64, 1 << 14, 1 << 26
+STEP, PIECE, REMEMBERED, SHORT, BATCH, MOST_FILE = 2048, 1 << 16, 1 << 18, 64, 1 << 14, 1 << 26
 #: Up to this many bytes, pairs are scanned for each merge; longer windows use a heap.
 SCANNED = 24
 #: What may stand before a pre-token of letters or numbers, and the contractions that are pre-tokens: fixed values.
@@ -312,6 +312,25 @@ def lists_of(rows: list[list[np.ndarray]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *chain.from_iterable(rows)]), pa.int32()))
 
 
+def decoded(ids: np.ndarray, v: Vocabulary) -> str:
+    machine = TextDecoder(v)
+    return "".join([*(machine.feed(ids[i : i + BATCH].tolist()) for i in range(0, len(ids), BATCH)), machine.close()])
+
+
+def pieces(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch of doc_id, text in slices of about `limit` bytes; a long text comes alone."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(upto):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, text -> doc_id, ids (array<int>): the tokens of each text by the tokenizer file at path."""
     sent = shared_vocabulary(docs.sparkSession, path)
@@ -319,39 +338,48 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(sent)
         for batch in source:
-            texts = batch.column(1)
-            for a, b in chunks(texts.cast(pa.large_binary()).to_pylist()):
-                rows = [[np.array(ids, np.int32) for ids in encoded(t or "", v)] for t in texts.slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists_of(rows)], ["doc_id", "ids"])
+            for part in pieces(batch):
+                rows = [[np.array(ids, np.int32) for ids in encoded(t, v)] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists_of(rows)], ["doc_id", "ids"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return read.mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, ids -> doc_id, ids, text."""
     sent = shared_vocabulary(rows.sparkSession, path)
 
-    def text(ids: np.ndarray, v: Vocabulary) -> str:
-        machine = TextDecoder(v)
-        return "".join([*(machine.feed(ids[i : i + BATCH].tolist()) for i in range(0, len(ids), BATCH)), machine.close()])
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(sent)
         for batch in source:
             ids, ends = batch.column(1).values.fill_null(-1).to_numpy(), batch.column(1).offsets.to_numpy()
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                texts = [text(ids[a:b], v) for a, b in zip(ends[i : i + 64], ends[i + 1 : i + 65])]
+                texts = [decoded(ids[a:b], v) for a, b in zip(ends[i : i + 64], ends[i + 1 : i + 65])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     read = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     return read.mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, text -> doc_id, ids, text: encode and decode in one pass. The text is what the ids decode to."""
+    sent = shared_vocabulary(docs.sparkSession, path)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(sent)
+        for batch in source:
+            for part in pieces(batch):
+                lists = lists_of([[np.array(ids, np.int32) for ids in encoded(t, v)] for t in part.column(1).to_pylist()])
+                ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                texts = [decoded(ids[a:b], v) for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def op12_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    both = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

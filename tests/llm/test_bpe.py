@@ -111,10 +111,12 @@ def test_defined_cases(spark, library):
     got = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     want = [(1, ""), (2, ""), (None, "a b"), (3, "a b"), (3, "a b"), (4, long)]
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t in want)
+    both = bpe.round_trip(docs, PATH).collect()
+    assert sorted((str(r["doc_id"]), r["ids"], r["text"]) for r in both) == sorted((str(r["doc_id"]), r["ids"], r["text"]) for r in got)
     assert all(r["ids"] == library.encode(r["text"], add_special_tokens=False).ids for r in got)
     odd = spark.createDataFrame([(1, None), (2, []), (3, [64, None, 99999, -5, 65]), (4, [164, 65])], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["text"] for r in bpe.decode(odd, PATH).collect()} == {1: "", 2: "", 3: library.decode([64, 65]), 4: library.decode([164, 65])}
-    assert bpe.decode(bpe.encode(docs.where("false"), PATH), PATH).count() == 0
+    assert bpe.decode(bpe.encode(docs.where("false"), PATH), PATH).count() == bpe.round_trip(docs.where("false"), PATH).count() == 0
 
 
 def test_other_files_are_refused(tmp_path):
