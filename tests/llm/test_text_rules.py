@@ -6,6 +6,8 @@ from collections import Counter
 
 import pytest
 from conftest import SMALL
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from galewatch.llm import pii, quality, secret_scan
 
@@ -145,6 +147,28 @@ def test_calibration_on_templates_and_planted_spans(spark, monkeypatch):
         assert r["rows"] >= 5 and r["precision"] is None and (r["threshold"] is None or r["recall"] > 0.7), r
 
 
+def test_models_and_thresholds_rest_on_every_labelled_span(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(pii, "stored", lambda df, name, whole=pii.stored: held.setdefault(name, whole(df, name)))
+    texts = [f"login from 10.{i // 200}.{i % 200}.1 by ann{i}@mail{i % 7}.example.org" for i in range(2500)] + [f"release 999.1.{i}.1" for i in range(3)]
+    model, limits, report = pii.fitted(pii.proposals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    rows = {(r[0], r[1]): r[3:] for r in report}
+    assert rows["ip", "corpus"][0] == 2503 and rows["email", "corpus"][0] == 2500
+    assert set(limits) == set(KINDS) and rows["email", "corpus"][1:] == (1.0, 1.0)
+    made = {r["kind"]: r["count"] for r in held["pii_labelled"].where("part = 'examples'").groupBy("kind").count().collect()}
+    assert {k: rows[k, "examples"][0] for k in KINDS} == made
+    fitted_on = held["pii_weighed"].where("part = 'corpus'").groupBy("kind", "label").agg(F.sum("n"), F.round(F.sum("weight"), 6)).collect()
+    assert {(kind, label): (n, weight) for kind, label, n, weight in fitted_on} == {("ip", 1.0): (2500, pii.CORPUS_WEIGHT), ("ip", 0.0): (3, 3), ("email", 1.0): (2500, pii.CORPUS_WEIGHT)}
+    assert held["pii_weighed"].count() < 2000  # alike spans are one row
+
+
+def test_split_candidates_come_from_all_rows(spark):
+    n, rare = 40_000, 6  # Spark would draw a quarter of the rows with 32 bins, and hardly all of these
+    rows = spark.range(n).selectExpr(f"double(id % 5000 = 17 and id < 5000 * {rare}) label", *[f"double(id = 5000 * {k} + 17) f{k}" for k in range(rare)], *[f"0D f{i}" for i in range(rare, pii.FEATURES)])
+    model = pii._trees(rows.withColumn("weight", F.when(F.col("label") == 1, 1e4).otherwise(1.0)), n)
+    assert [model.predict(Vectors.dense([float(i == k) for i in range(pii.FEATURES)])) for k in range(rare + 1)] == [1.0] * rare + [0.0]
+
+
 def test_redaction(spark):
     out = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark).select("doc_id", "text").where("doc_id = 5 or doc_id = 0")).collect()}
     assert out[0] == "" and out[5].startswith("[ip] [ip]")
