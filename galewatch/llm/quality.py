@@ -3,7 +3,9 @@
 The base rules count words, symbols, equal lines and repeated three-word windows. The verdict comes from the suffix
 array: prefix doubling ranks the suffixes, longest common prefixes of neighbours give the maximal repeated substrings
 of at least MIN_REPEAT words, their spans are united, and both the covered share of the words and the longest repeat
-are limited. Suffix arrays are built for all documents of a chunk at once; suffixes never match across documents. A
+are limited. Each covered word is in a repeated three-word window too, so the limits are far below MAX_REPEAT_SHARE: a
+higher one would let through just what the base rules do. Neither limit follows from the other: many short passages
+exceed the first, one passage that stands twice the second. Suffix arrays are built for all documents of a chunk at once; suffixes never match across documents. A
 chunk is a megabyte of text, or one longer text; ranks take 8 bytes for each of its words and each doubling, so 8 n
 (2 + log2 of the longest repeat) bytes for n words: 200 MB for a text of a million times one word.
 
@@ -26,7 +28,7 @@ from galewatch.llm.wordarrays import byte_texts, chunks, word_hashes
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 50  # base rules: words at least; percent of words in repeated windows at most
 MIN_REPEAT = 8  # words from which a repeated substring counts
-MAX_COVERED, MAX_LONGEST = 0.5, 0.35  # share of the words under repeats; share of the longest repeat
+MAX_COVERED, MAX_LONGEST = 0.12, 0.05  # share of the words under repeats; share of the longest repeat
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
 IS_SPACE = np.zeros(256, dtype=bool)

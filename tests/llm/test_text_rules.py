@@ -300,3 +300,16 @@ def test_quality_equals_brute_force(spark):
     kept = quality.keep_good(rows.withColumn("kept", rows["doc_id"])).collect()
     assert {r["doc_id"] for r in kept} == {i for i, t in enumerate(texts) if plain_quality(t)[-1]}
     assert quality.judge(rows.where("false")).count() == 0
+
+
+def test_suffix_array_decides_beyond_the_base_rules(spark):
+    def text(block, times):  # 200 words, of which a block stands several times between words that stand once
+        fill = [f"u{i}" for i in range(200 - block * times)]
+        parts = [" ".join(fill[i::times]) + " " + " ".join(f"b{i}" for i in range(block)) for i in range(times)]
+        return " ".join(parts)
+
+    cases = {(9, 2): (18, 9, False, True), (11, 2): (22, 11, False, False), (9, 3): (27, 9, False, False)}  # nothing, the longest repeat, the covered share
+    texts = [text(*c) for c in cases]
+    got = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select("covered_words", "longest_repeat", "base_failed", "kept").collect()
+    assert [tuple(r) for r in got] == list(cases.values())
+    assert [plain_quality(t)[5:] for t in texts] == list(cases.values())
