@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -119,6 +120,44 @@ def test_defined_cases(spark, library):
     assert bpe.decode(bpe.encode(docs.where("false"), PATH), PATH).count() == bpe.round_trip(docs.where("false"), PATH).count() == 0
 
 
+def test_rows_are_encoded_side_by_side(library, vocabulary):
+    """Neighbouring rows don't touch one another: contractions, white space and special tokens at their ends, long rows between."""
+    rng = random.Random(5)
+    near = ["'", "s", "'s", "'r", "re", "'re", "'rest", "'l", "l", "'ll", "'Ve", " 's", "!'s", "''s", "'s's", " ", "  ", "\n", " \n", "a ", " a", "\t a", "é", "日'd", "<|endof", "text|>", "<|endoftext|>", "", "1", "x'm ", "\x1c", "\x85'"]
+    rows = [w for _ in range(2000) for w in (rng.choice(near), rng.choice(near) + rng.choice(near))] + texts(6, 1000)
+    rows += ["x" * 200_000, "'", "s" * 70 + " " + "ab" * 40, "-a" * 150_000, "re", "word's " * 50_000, "é", " \n" * 100_000 + "b"] + ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 90))) for _ in range(3000)]
+    got = bpe.encoded_lists(rows, vocabulary)
+    assert got.to_pylist() == [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    assert bpe.decoded_rows(got.values.to_numpy(), got.offsets.to_numpy(), vocabulary) == rows
+    halves = [ids[i : i + 3] for ids in got.to_pylist()[-3000:] for i in (0, 3)]  # characters cut in two
+    ends = [0]
+    for ids in halves:
+        ends.append(ends[-1] + len(ids))
+    flat = bpe.np.array([i for ids in halves for i in ids])
+    assert bpe.decoded_rows(flat, bpe.np.array(ends), vocabulary) == library.decode_batch(halves, skip_special_tokens=False)
+
+
+def test_what_is_remembered_is_bounded(library, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    rows = texts(7, 300)
+    for i in range(0, 300, 10):
+        want = [e.ids for e in library.encode_batch(rows[i : i + 10], add_special_tokens=False)]
+        assert bpe.encoded_lists(rows[i : i + 10], vocabulary).to_pylist() == want
+        assert len(vocabulary.remembered[0].places) < 50 + sum(map(len, rows[i : i + 10])) + 2
+
+
+def test_new_words_cost_little(vocabulary):
+    """CPU time of words that nothing is remembered of, against that of the pattern that finds them (one by one: some 11 times)."""
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice(["th", "en", "qu", "ei", "ción", "o", "a", "st"]) for _ in range(rng.randrange(3, 7))) for _ in range(100_000))
+    taken = {}
+    for name, f in (("pattern", lambda: vocabulary.fast.findall(text)), ("ids", lambda: list(bpe.encoded(text, vocabulary)))):
+        began = time.process_time()
+        f()
+        taken[name] = time.process_time() - began
+    assert taken["ids"] < 6 * taken["pattern"], taken
+
+
 def test_other_files_are_refused(tmp_path):
     with pytest.raises(ValueError):
         bpe.read_vocabulary(b'{"model": {"type": "WordPiece"}, "pre_tokenizer": null, "added_tokens": []}', bpe.patterns())
