@@ -47,7 +47,7 @@ def stream_dedup(spark, sf_dir):
 
 @query(STREAM_SQL)
 def stream_tracker(spark, sf_dir):
-    updates = finished(spark, scans(candidates(spark, sf_dir)), lambda s: tracker.stream(s, CONFIG))
+    updates = finished(spark, scans(candidates(spark, sf_dir)), lambda s: tracker.stream(s, CONFIG, history=False))
     return updates.select("site", iso_utc(F.col("scan_time")).alias("scan_time"), "cand_idx", "cell_id", "track_id", "status", "hits_in_window", "window_size", "newly_confirmed")
 
 
@@ -99,7 +99,7 @@ def saved_open_tracks(spark, sf_dir):
     """Open tracks read out of the state store of the tracker's stream."""
     rows = scans(candidates(spark, sf_dir))
     parts = [p.drop("s") for p in halves(rows.withColumn("s", F.unix_seconds("scan_time")), "s")]
-    root = fed(spark, parts, lambda s: tracker.stream(s, CONFIG))
+    root = fed(spark, parts, lambda s: tracker.stream(s, CONFIG, history=False))
     tracks = tracker.open_tracks(tracker.saved_state(spark, f"{root}/state"))
     last = F.element_at(F.filter("observations", lambda o: ~o["missed"]), -1)
     return tracks.select(

@@ -58,3 +58,17 @@ def test_work_follows_candidates_not_their_pairs():
         updates = tracker.advance(state, "A", 1.7e9 + 300 * k, scan(rng, 6000, 1), CONFIG)
     assert len(updates) == 6000 and sum(u["status"] == "confirmed" for u in updates) > 1000
     assert time.process_time() - began < 15  # some 60 million pairs of candidates and tracks
+
+
+def test_stream_writes_no_history_where_none_is_asked(spark, monkeypatch):
+    from conftest import SMALL
+
+    from galewatch.plans import stream_queries
+
+    columns = []
+    for name in ("finished", "fed"):
+        made = getattr(stream_queries, name)
+        monkeypatch.setattr(stream_queries, name, lambda s, rows, make, made=made: made(s, rows, lambda x: (out := make(x), columns.append(out.columns))[0]))
+    stream_queries.stream_tracker(spark, SMALL)
+    stream_queries.saved_open_tracks(spark, SMALL)
+    assert len(columns) == 3 and not any("observations" in c for c in columns)
