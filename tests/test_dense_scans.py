@@ -72,3 +72,18 @@ def test_stream_writes_no_history_where_none_is_asked(spark, monkeypatch):
     stream_queries.stream_tracker(spark, SMALL)
     stream_queries.saved_open_tracks(spark, SMALL)
     assert len(columns) == 3 and not any("observations" in c for c in columns)
+
+
+def test_tracks_in_a_state_store_go_on_as_those_in_memory():
+    import json
+
+    rng = np.random.default_rng(3)
+    scans = [scan(rng, n, 15) for n in (300, 200, 0, 300, 250, 0, 0, 300, 200)]
+    held, kept = tracker.OpenTracks(CONFIG), {"tracks": [], "counter": 0}
+    for k, own in enumerate(scans):
+        columns = {f: tracker._numbers(c[f] for c in own) if f in tracker.NUMBERS else tracker.objects(c[f] for c in own) for f in tracker.CANDIDATE_FIELDS}
+        a = held.feed("A", 1.7e9 + 300 * k, columns)
+        b = tracker.advance(kept, "A", 1.7e9 + 300 * k, own, CONFIG)
+        kept = json.loads(json.dumps(kept))
+        assert a["track_id"].tolist() == [u["track_id"] for u in b] and a["status"].tolist() == [u["status"] for u in b]
+    assert json.loads(json.dumps(held.told())) == kept["tracks"] and len(kept["tracks"]) > 100
