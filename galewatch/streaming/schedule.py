@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,14 +112,39 @@ def continued(states: DataFrame, attempts: DataFrame, config: EngineConfig | Non
     return _decide(rows.repartition("site").sortWithinPartitions("site", F.desc("held"), "seq").mapInPandas(run, STATES), config or EngineConfig())
 
 
+#: Rows that a stream hands on at once.
+BATCH = 10_000
+
+
 def stream(attempts: DataFrame, config: EngineConfig | None = None) -> DataFrame:
-    """The same over a stream of attempts, counters in the state store."""
+    """The same over a stream of attempts, counters in the state store.
+
+    A site's attempts of one micro-batch come in any order, so they are held until all are there: ten bytes each, that is
+    seq, a number for the status, and whether there were cells and hits.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out, counters = _folded(rows.itertuples(), held.get if held.exists else (0, 0, 0, 0))
-        held.update(counters)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
+        numbers: dict = {}  # of statuses, as they are met
+        seqs, kinds, found = [], [], []
+        for batch in batches:
+            codes, names = pd.factorize(batch["status"], use_na_sentinel=False)
+            own = np.array([numbers.setdefault(None if pd.isna(x) else x, len(numbers)) for x in names], dtype=np.int64)
+            seqs.append(batch["seq"].to_numpy())
+            kinds.append(own[codes].astype(np.uint8 if len(numbers) < 256 else np.int64))
+            any_of = lambda *columns: (batch[list(columns)].fillna(0).astype("int64") > 0).any(axis=1).to_numpy()  # noqa: B023, E731
+            found.append(any_of("cells_found", "chips_processed") + 2 * any_of("raw_detections", "detections").astype(np.uint8))
+        seq, kind, hits = (np.concatenate(x) for x in (seqs, kinds, found))
+        del seqs, kinds, found
+        order, names = np.argsort(seq, kind="stable"), list(numbers)
+        counters = held.get if held.exists else (0, 0, 0, 0)
+        for first in range(0, len(order), BATCH):
+            out, rows = [], order[first : first + BATCH]
+            for n, k, h in zip(seq[rows].tolist(), kind[rows].tolist(), hits[rows].tolist()):
+                counters = next_counters(counters, names[k], h & 1, 0, h & 2, 0)
+                out.append((key[0], n, names[k], *counters))
+            if first + BATCH >= len(order):
+                held.update(counters)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
 
     kinds = ", ".join(f"{c} int" for c in COUNTERS)
     return _decide(attempts.groupBy("site").applyInPandasWithState(run, STATES, kinds, "append", GroupStateTimeout.NoTimeout), config or EngineConfig())
