@@ -123,26 +123,60 @@ def places_inside(places: DataFrame, west: float, east: float, south: float, nor
     return places.where(inside).orderBy(F.desc(F.coalesce("pop_max", F.lit(0))), "name").limit(most)
 
 
+#: Places in the first stratum of populations at least; each further one reaches STRATUM_GROWTH times as many.
+STRATUM, STRATUM_GROWTH = 10_000, 4
+
+
+def population_strata(places: DataFrame, population: Column) -> list[tuple[int | None, int | None]]:
+    """Ranges (from, below) of populations, the greatest first, that hold all places; None: without a bound."""
+    n = places.count()
+    shares = []
+    while n / STRATUM_GROWTH ** (len(shares) + 1) >= STRATUM:
+        shares.append(1.0 - STRATUM_GROWTH ** -(len(shares) + 1.0))
+    if not shares:
+        return [(None, None)]
+    bounds = sorted(set(places.agg(F.percentile_approx(population, shares, 10_000)).first()[0]), reverse=True)
+    return list(zip([*bounds, None], [None, *bounds]))
+
+
 def places_on_maps(places: DataFrame, maps: DataFrame, least_population: int = 0, most: int = 30) -> DataFrame:
     """PLACES, and maps (map, west, east, south, north) -> map, place_rank and the place: each map's most populous places.
 
     A grid index joins the two by cell. A map goes to the level whose cells are as large as its longer side, so that it
     meets at most four of them whatever its size, and a place to its cell of every level that any map is on: a few numbers
-    (sizes of maps differ by powers of two). So work is in proportion to places and what lies near the maps; a crowded
-    cell is a skewed join, which Spark splits. A map whose west is beyond its east, or with a null bound, has no places.
+    (sizes of maps differ by powers of two). A crowded cell is a skewed join, which Spark splits. Places are met in strata
+    of population, the greatest first, and a map that is full meets no further one: work follows what maps show, not all
+    places on them. A map whose west is beyond its east, or with a null bound, has no places.
     """
+    population = F.coalesce("pop_max", F.lit(0))
     size = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(1e-6))
     asked = maps.where((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north"))).withColumn("level", F.ceil(F.log2(size)).cast("int"))
     levels = [r["level"] for r in asked.select("level").distinct().collect()]  # exponents: some 30 at most
     cell = lambda x, level: F.floor(x / F.pow(F.lit(2.0), level))
     span = lambda a, b: F.explode(F.sequence(cell(F.col(a), F.col("level")), cell(F.col(b), F.col("level"))))
     boxes = asked.withColumn("ix", span("west", "east")).withColumn("iy", span("south", "north"))
-    known = places.where(F.coalesce("pop_max", F.lit(0)) >= least_population).withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    known = known.withColumn("ix", cell(F.col("lon"), F.col("level"))).withColumn("iy", cell(F.col("lat"), F.col("level")))
+    known = places.where(population >= least_population)
     inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    met = known.join(boxes, ["level", "ix", "iy"]).where(inside)
-    order = Window.partitionBy("map").orderBy(F.desc(F.coalesce("pop_max", F.lit(0))), "name", "lon", "lat")
-    return met.withColumn("place_rank", F.row_number().over(order)).where(F.col("place_rank") <= most).select("map", "place_rank", "name", "lon", "lat", "pop_max")
+    order = Window.partitionBy("map").orderBy(F.desc(population), "name", "lon", "lat")
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("place_rank", F.row_number().over(order)).where(F.col("place_rank") <= most).select("map", "place_rank", "name", "lon", "lat", "pop_max")
+
+    def met(own: DataFrame, left: DataFrame) -> DataFrame:
+        own = own.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+        own = own.withColumn("ix", cell(F.col("lon"), F.col("level"))).withColumn("iy", cell(F.col("lat"), F.col("level")))
+        return first(own.join(left, ["level", "ix", "iy"]).where(inside))
+
+    strata, found, left = population_strata(known, population), None, boxes
+    for low, below in strata[:-1]:
+        own = known.where((population >= low) & (F.lit(True) if below is None else population < below))
+        rows = stored(met(own, left), "places")
+        found = rows if found is None else found.unionByName(rows)
+        full = found.groupBy("map").agg(F.count("*").alias("_n")).where(F.col("_n") >= most).select("map")
+        left = boxes.join(full, "map", "left_anti")
+    low, below = strata[-1]
+    rows = met(known if below is None else known.where(population < below), left)
+    return rows if found is None else first(found.unionByName(rows))
 
 
 def spaced_labels(labels: DataFrame, key: str, width: float, height: float) -> DataFrame:
